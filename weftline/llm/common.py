@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Also ASCII punctuation and control characters.
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = (np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: The byte values with A-Z mapped to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -88,15 +90,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased (A-Z) word of all texts in order, and the bounds of each text's words.
 
-    A word is a run of bytes other than space and 0x09-0x0D.
+    A word is a run of bytes other than those marked in ``between``: space and 0x09-0x0D.
     """
     buf = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    space = _SPACE[buf]
+    space = between[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.r_[0, edge]
