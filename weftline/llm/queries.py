@@ -1,8 +1,14 @@
 """The registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from weftline.llm import neardup
+import corpus_pipeline
+from weftline.llm import decontaminate, language, neardup, packing, repeats
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op3_language_id": language.op3_language_id,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_minhash_neardup": neardup.op8_minhash_neardup,
+    "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
