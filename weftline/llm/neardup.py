@@ -202,9 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = rare.join(rare.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "shingle", "left")
     # A shingle of one text alone can't be shared but takes its place in the prefix.
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    prefix = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).filter("df > 1")
-    left, right = (prefix.select("shingle", F.col("node").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}")) for n in "ab")
-    prefixed = left.join(right, "shingle").filter(f"a < b AND ca <> cb AND {den} * least(sa, sb) >= {num} * greatest(sa, sb)").select("a", "b")
+    # Of a pair, the smaller set (a) shares one of its first |a| - 2t/(1+t)|a| + 1 shingles with the first |b| - t|b| + 1 of
+    # the larger; at the first shared one, what follows in both must still make up the overlap that the threshold takes.
+    placed_in = ranked.filter("df > 1").select("shingle", "node", "comp", "size", "rank")
+    left = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 2 * num / (num + den)) + 1).toDF("shingle", "a", "ca", "sa", "ra")
+    right = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).toDF("shingle", "b", "cb", "sb", "rb")
+    fits = f"(sa < sb OR sa = sb AND a < b) AND ca <> cb AND {den} * sa >= {num} * sb AND (1 + least(sa - ra, sb - rb)) * {num + den} >= {num} * (sa + sb)"
+    prefixed = left.join(right, F.expr(f"{fits}") & (left["shingle"] == right["shingle"])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tested = stars.select("a", "b")
     links = links.unionByName(linked(likely(crossing.union(prefixed).distinct().join(tested, ["a", "b"], "left_anti"))))
     comp = components(links)
