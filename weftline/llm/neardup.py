@@ -171,7 +171,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(brief.toDF("a", "sig_a", "n_a"), "a").join(brief.toDF("b", "sig_b", "n_b"), "b")
         return both.mapInArrow(sequential, "a long, b long, hits long")
 
-    stars = materialise(likely(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "candidates")
+    # Stars come first because they settle most buckets. Which pairs they hold doesn't matter for the result: a bucket
+    # that keeps several components goes on. Pairs that meet once only, in a larger bucket, mostly share a passage.
+    met = buckets.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"), F.min("n_bucket").alias("least"))
+    stars = materialise(likely(met.filter("bands > 1 OR least = 2").select("a", "b")), "candidates")
     loose = buckets.filter("n_bucket > 2")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(loose.select("node")).distinct()
     wanted = nodes.join(needed, "node").select("node", "at", F.col("text_hash"))
