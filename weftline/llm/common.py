@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -45,6 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver's collector finds them unreferenced.
+
+    Without it they stay for as long as the driver has memory to spare, and fill the executors' disks.
+    """
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def partitions(df: DataFrame) -> int:
     """How many buckets a shuffle of df takes: follows the input's splits, and the session's setting as the least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

@@ -14,7 +14,6 @@ sorted, and nothing that can is left out:
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _BYTE, materialise, mix, partitions, text_batches, utf8
+from weftline.llm.common import _BYTE, materialise, mix, partitions, release, text_batches, utf8
 from weftline.llm.suffixarray import suffix_array
 
 GRAM = 16
@@ -32,6 +31,7 @@ _HALF = _SIDE // 2
 #: Anchors that a map task holds before it settles them among themselves and passes on the rest.
 BLOCK = 3_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _power(n: int) -> np.uint64:
@@ -47,10 +47,10 @@ def _grams(buf: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For each context: its text's index, anchor hash, context hash, first byte in the text, length, the anchor's place in it."""
+    """For each context: its text's index, anchor hash, context hash, first byte in the text, length."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(buf) < LENGTH:
         return empty
     stops = np.cumsum(sizes)
@@ -76,38 +76,41 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return h[i] * _power(32) + h[i + 16] * _power(16) + h[i + 32]
 
     code = mix(mix(wide(first)) + wide(end - 48) * np.uint64(3) + (end - first).astype(np.uint64))
-    return text[first], mix(h[p]), code, first - (stops - sizes)[text[first]], end - first, p - first
+    return text[first], mix(h[p]), code, first - (stops - sizes)[text[first]], end - first
 
 
 class _Refs:
-    """Documents of a block: id and text hash by index."""
+    """Documents of a block: id and mark (32 bits of the text's hash, to tell texts of one id apart) by index."""
 
     def __init__(self) -> None:
         self.ids: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, ids: np.ndarray, hashes: np.ndarray) -> int:
+    def add(self, ids: np.ndarray, marks: np.ndarray) -> int:
         self.ids.append(ids)
-        self.hashes.append(hashes)
+        self.marks.append(marks)
         self.n += len(ids)
         return self.n - len(ids)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return (np.concatenate(self.ids), np.concatenate(self.hashes)) if self.ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.concatenate(self.ids), np.concatenate(self.marks)) if self.ids else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
 
-_COLUMNS = {"docs": np.int64, "hashes": np.int64, "counts": np.uint32, "anchor": np.uint64, "code": np.uint64, "start": np.uint32, "size": np.uint8, "place": np.uint8, "bytes": np.uint8}
+#: A bucket's anchors are told apart by 32 bits and contexts of one anchor by 48 more. Anchors that fall together cost
+#: a comparison and no more, as contexts of one anchor that differ are compared byte by byte.
+_COLUMNS = {"docs": np.int64, "marks": np.uint32, "counts": np.uint32, "anchor": np.uint32, "code": np.uint32, "code_top": np.uint16, "start": np.uint32, "size": np.uint32, "bytes": np.uint8}
+_ENTRY_COLUMNS = ("anchor", "code", "code_top", "start", "size")
 _PACKED = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in _COLUMNS]])
-#: Kinds of packed rows: contexts to compare; spans [start, start + anchor) found covered; contexts whose bytes are asked for.
+#: Kinds of packed rows: contexts to compare; spans found covered; contexts whose bytes are asked for (code: their bucket).
 _ENTRY, _SPAN, _ASK = 0, 1, 2
 
 
-def _pack(bucket: int, kind: int, ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, data: bytes = b"", **columns) -> pa.RecordBatch:
-    """One packed row. doc: each entry's index into ids and hashes, ascending."""
+def _pack(bucket: int, kind: int, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, data: bytes = b"", **columns) -> pa.RecordBatch:
+    """One packed row. doc: each entry's index into ids and marks, ascending."""
     used, counts = np.unique(doc, return_counts=True)
-    columns |= {"docs": ids[used], "hashes": hashes[used], "counts": counts}
+    columns |= {"docs": ids[used], "marks": marks[used], "counts": counts}
     row = {c: np.ascontiguousarray(columns[c], t).tobytes() if c in columns else b"" for c, t in _COLUMNS.items()}
     row["bytes"] = data
     return pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": kind, **row}], schema=_PACKED_ARROW)
@@ -119,12 +122,12 @@ def _unpack(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
     return row
 
 
-def _joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Packed rows put together: document ids, hashes, and the entries' columns with doc as an index into those."""
+def _joined(rows: list[dict], columns: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Packed rows put together: document ids, marks, and the entries' columns with doc as an index into those."""
     base = np.cumsum([0, *[len(r["docs"]) for r in rows]])
-    out = {c: np.concatenate([r[c] for r in rows]) for c in ("anchor", "code", "start", "size", "place")}
+    out = {c: np.concatenate([r[c] for r in rows]) for c in columns}
     out["doc"] = np.concatenate([r["doc"] + b for r, b in zip(rows, base[:-1], strict=True)])
-    return np.concatenate([r["docs"] for r in rows]), np.concatenate([r["hashes"] for r in rows]), out
+    return np.concatenate([r["docs"] for r in rows]), np.concatenate([r["marks"] for r in rows]), out
 
 
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -135,13 +138,13 @@ def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(keys[0])], strict=True))
 
 
-def _deal(kind: int, key: np.ndarray, buckets: int, ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]):
+def _deal(kind: int, key: np.ndarray, buckets: int, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]):
     """Packed rows of the entries by bucket; key is taken modulo buckets."""
     to = (key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((columns["start"], doc, to))
     for lo, hi in _runs(to[order]):
         part = order[lo:hi]
-        yield _pack(int(to[part[0]]), kind, ids, hashes, doc[part], **{c: v[part] for c, v in columns.items()})
+        yield _pack(int(to[part[0]]), kind, ids, marks, doc[part], **{c: v[part] for c, v in columns.items()})
 
 
 def _shard(ids: np.ndarray) -> np.ndarray:
@@ -161,9 +164,9 @@ def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], reach[np.r_[first[1:], len(doc)] - 1] - lift[first]
 
 
-def _deal_spans(buckets: int, ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray):
+def _deal_spans(buckets: int, ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray):
     doc, start, stop = _spans(doc, start, size)
-    yield from _deal(_SPAN, _shard(ids)[doc], buckets, ids, hashes, doc, {"start": start, "anchor": stop - start})
+    yield from _deal(_SPAN, _shard(ids)[doc], buckets, ids, marks, doc, {"start": start, "size": stop - start})
 
 
 def _least(key: list[np.ndarray], doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,19 +182,20 @@ def _find(buckets: int):
     def settle(refs: _Refs, held: list[tuple]):
         if not held:
             return
-        ids, hashes = refs.arrays()
-        doc, anchor, code, start, size, place = (np.concatenate([h[j] for h in held]) for j in range(6))
+        ids, marks = refs.arrays()
+        doc, anchor, code, start, size = (np.concatenate([h[j] for h in held]) for j in range(5))
         order, least = _least([anchor, code], ids[doc])
-        doc, anchor, code, start, size, place = (x[order] for x in (doc, anchor, code, start, size, place))
+        doc, anchor, code, start, size = (x[order] for x in (doc, anchor, code, start, size))
         done = least < ids[doc]
-        yield from _deal_spans(buckets, ids, hashes, doc[done], start[done], size[done])
-        left = ~done
-        yield from _deal(_ENTRY, anchor[left], buckets, ids, hashes, doc[left], {"anchor": anchor[left], "code": code[left], "start": start[left], "size": size[left], "place": place[left]})
+        yield from _deal_spans(buckets, ids, marks, doc[done], start[done], size[done])
+        doc, anchor, code, start, size = (x[~done] for x in (doc, anchor, code, start, size))
+        columns = {"anchor": anchor // np.uint64(buckets) & _LOW, "code": code & _LOW, "code_top": code >> np.uint64(48), "start": start, "size": size}
+        yield from _deal(_ENTRY, anchor, buckets, ids, marks, doc, columns)
 
     def run(batches):
         refs, held, n = _Refs(), [], 0
         for batch in text_batches(batches):
-            base = refs.add(batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy())
+            base = refs.add(batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy().astype(np.uint32))
             found = contexts(utf8(batch.column("text")))
             held.append((found[0] + base, *found[1:]))
             n += len(found[0])
@@ -215,31 +219,32 @@ def _by_bucket(work):
                     continue
                 bucket = batch.column("bucket")[i].as_py()
                 if bucket != at and held:
-                    yield from work(held)
+                    yield from work(held, at)
                     held = []
                 at = bucket
                 held.append(_unpack(batch, i))
         if held:
-            yield from work(held)
+            yield from work(held, at)
 
     return run
 
 
 def _compare(buckets: int):
-    def work(rows: list[dict]):
-        ids, hashes, e = _joined(rows)
-        order, least = _least([e["anchor"], e["code"]], ids[e["doc"]])
-        e = {c: v[order] for c, v in e.items()}
-        done = least < ids[e["doc"]]
-        yield from _deal_spans(buckets, ids, hashes, e["doc"][done], e["start"][done], e["size"][done])
+    def work(rows: list[dict], bucket: int):
+        ids, marks, e = _joined(rows, _ENTRY_COLUMNS)
+        code = e.pop("code").astype(np.uint64) | e.pop("code_top").astype(np.uint64) << np.uint64(32)
+        order, least = _least([e["anchor"], code], ids[e["doc"]])
+        e, code = {c: v[order] for c, v in e.items()}, code[order]
+        docs = ids[e["doc"]]
+        done = least < docs
+        yield from _deal_spans(buckets, ids, marks, e["doc"][done], e["start"][done], e["size"][done])
         new = np.r_[True, e["anchor"][1:] != e["anchor"][:-1]]
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        docs = ids[e["doc"]]
         several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
-        differ = np.minimum.reduceat(e["code"], first) < np.maximum.reduceat(e["code"], first)
+        differ = np.minimum.reduceat(code, first) < np.maximum.reduceat(code, first)
         ask = (several & differ)[group] & ~done
-        yield from _deal(_ASK, _shard(ids)[e["doc"][ask]], buckets, ids, hashes, e["doc"][ask], {c: e[c][ask] for c in ("anchor", "start", "size", "place")})
+        yield from _deal(_ASK, _shard(ids)[e["doc"][ask]], buckets, ids, marks, e["doc"][ask], {"code": np.full(int(ask.sum()), bucket), **{c: e[c][ask] for c in ("anchor", "start", "size")}})
 
     return _by_bucket(work)
 
@@ -251,65 +256,52 @@ def _per_document(kind: int):
         rows = [_unpack(b, i) for b in batches for i in range(b.num_rows) if b.column("kind")[i].as_py() == kind]
         if not rows:
             return
-        ids, hashes, e = _joined_some(rows, ("anchor", "start", "size", "place") if kind == _ASK else ("anchor", "start"))
-        order = np.lexsort((e["start"], hashes[e["doc"]], ids[e["doc"]]))
+        ids, marks, e = _joined(rows, ("anchor", "code", "start", "size") if kind == _ASK else ("start", "size"))
+        order = np.lexsort((e["start"], marks[e["doc"]], ids[e["doc"]]))
         e = {c: v[order] for c, v in e.items()}
-        i, h = ids[e["doc"]], hashes[e["doc"]]
-        bounds = _runs(i, h)
+        i, m = ids[e["doc"]], marks[e["doc"]]
+        bounds = _runs(i, m)
         for lo in range(0, len(bounds), 4096):
             some = bounds[lo : lo + 4096]
             heads = [a for a, _ in some]
-            packs = [pa.array([np.ascontiguousarray(v[a:b]).tobytes() for a, b in some], pa.binary()) for v in (e["anchor"], e["start"], e.get("size", e["start"][:0]), e.get("place", e["start"][:0]))]
-            yield pa.RecordBatch.from_arrays([pa.array(i[heads]), pa.array(h[heads]), *packs], names=["doc_id", "text_hash", "anchor", "start", "size", "place"])
+            packs = [pa.array([np.ascontiguousarray(e[c][a:b]).tobytes() if c in e else b"" for a, b in some], pa.binary()) for c in ("anchor", "code", "start", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(i[heads]), pa.array(m[heads].astype(np.int64)), *packs], names=["doc_id", "mark", "anchor", "code", "start", "size"])
 
     return run
 
 
-def _joined_some(rows: list[dict], columns: tuple[str, ...]):
-    base = np.cumsum([0, *[len(r["docs"]) for r in rows]])
-    out = {c: np.concatenate([r[c] for r in rows]) for c in columns}
-    out["doc"] = np.concatenate([r["doc"] + b for r, b in zip(rows, base[:-1], strict=True)])
-    return np.concatenate([r["docs"] for r in rows]), np.concatenate([r["hashes"] for r in rows]), out
-
-
-_PER_DOCUMENT = "doc_id long, text_hash long, anchor binary, start binary, size binary, place binary"
+_PER_DOCUMENT = "doc_id long, mark long, anchor binary, code binary, start binary, size binary"
 
 
-def _cut_out(buckets: int):
-    """Documents with their asked contexts to packed entries with the contexts' bytes, dealt by anchor."""
+def _cut_out(batches):
+    """Documents with their asked contexts to packed entries with the contexts' bytes, dealt by the bucket that asked."""
 
     def flush(refs: _Refs, held: list[tuple]):
-        ids, hashes = refs.arrays()
-        doc, anchor, start, size, place = (np.concatenate([h[j] for h in held]) for j in range(5))
-        text = np.concatenate([h[5] for h in held])
-        begin = np.concatenate([h[6] for h in held])
-        to = (anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((start, doc, to))
-        for lo, hi in _runs(to[order]):
+        ids, marks = refs.arrays()
+        doc, anchor, bucket, start, size, text, begin = (np.concatenate([h[j] for h in held]) for j in range(7))
+        order = np.lexsort((start, doc, bucket))
+        for lo, hi in _runs(bucket[order]):
             part = order[lo:hi]
             n = size[part].astype(np.int64)
             at = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield _pack(int(to[part[0]]), _ENTRY, ids, hashes, doc[part], text[at].tobytes(), anchor=anchor[part], start=start[part], size=size[part], place=place[part])
+            yield _pack(int(bucket[part[0]]), _ENTRY, ids, marks, doc[part], text[at].tobytes(), anchor=anchor[part], start=start[part], size=size[part])
 
-    def run(batches):
-        refs, held, n, total = _Refs(), [], 0, 0
-        for batch in batches:
-            base = refs.add(batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy())
-            for i in range(batch.num_rows):
-                anchor, start, size, place = (np.frombuffer(batch.column(c)[i].as_buffer(), _COLUMNS[c]) for c in ("anchor", "start", "size", "place"))
-                raw = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                m = size.astype(np.int64)
-                at = np.repeat(start.astype(np.int64) - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                held.append((np.full(len(anchor), base + i), anchor, start, size, place, raw[at], total + np.cumsum(m) - m))
-                total += int(m.sum())
-                n += len(anchor)
-            if n >= BLOCK // 8:
-                yield from flush(refs, held)
-                refs, held, n, total = _Refs(), [], 0, 0
-        if held:
+    refs, held, n, total = _Refs(), [], 0, 0
+    for batch in text_batches(batches):
+        base = refs.add(batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy().astype(np.uint32))
+        for i in range(batch.num_rows):
+            anchor, bucket, start, size = (np.frombuffer(batch.column(c)[i].as_buffer(), _COLUMNS[c]) for c in ("anchor", "code", "start", "size"))
+            raw = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
+            m = size.astype(np.int64)
+            at = np.repeat(start.astype(np.int64) - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            held.append((np.full(len(anchor), base + i), anchor, bucket, start, size, raw[at], total + np.cumsum(m) - m))
+            total += int(m.sum())
+            n += len(anchor)
+        if n >= BLOCK // 8:
             yield from flush(refs, held)
-
-    return run
+            refs, held, n, total = _Refs(), [], 0, 0
+    if held:
+        yield from flush(refs, held)
 
 
 def _poly(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -320,12 +312,15 @@ def _poly(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sort_suffixes(buckets: int):
-    def work(rows: list[dict]):
-        ids, hashes, e = _joined_some(rows, ("anchor", "start", "size", "place"))
+    def work(rows: list[dict], bucket: int):
+        ids, marks, e = _joined(rows, ("anchor", "start", "size"))
         text = np.concatenate([r["bytes"] for r in rows])
-        size, place = e["size"].astype(np.int64), e["place"].astype(np.int64)
+        size = e["size"].astype(np.int64)
         begin = np.cumsum(size) - size
         # A window reaches _HALF bytes or more to one side of its anchor; contexts that share no such side share no window.
+        least = (mix(_grams(text)) & ~_LOW) | np.arange(len(text) - GRAM + 1, dtype=np.uint64)
+        bounds = np.c_[begin, begin + size - GRAM + 1].ravel()
+        place = (np.minimum.reduceat(np.r_[least, ~np.uint64(0)], bounds)[::2] & _LOW).astype(np.int64) - begin
         keep = np.zeros(len(size), bool)
         for fits, at in ((place >= _HALF, begin + place - _HALF), (size - place >= GRAM + _HALF, begin + place)):
             which = np.flatnonzero(fits)
@@ -356,7 +351,7 @@ def _sort_suffixes(buckets: int):
         heads = np.flatnonzero(~equal)
         covered = np.minimum.reduceat(ids[doc], heads)[group] < ids[doc]
         at = e["start"][which][own].astype(np.int64) + order - fresh[own]
-        yield from _deal_spans(buckets, ids, hashes, doc[covered], at[covered], np.full(int(covered.sum()), LENGTH))
+        yield from _deal_spans(buckets, ids, marks, doc[covered], at[covered], np.full(int(covered.sum()), LENGTH))
 
     return _by_bucket(work)
 
@@ -364,9 +359,8 @@ def _sort_suffixes(buckets: int):
 def _remove(batches):
     for batch in text_batches(batches):
         out = []
-        for text, start, size in zip(utf8(batch.column("text")), batch.column("start"), batch.column("anchor"), strict=True):
-            starts = np.frombuffer(start.as_buffer() or b"", np.uint32) if start.is_valid else np.zeros(0, np.uint32)
-            sizes = np.frombuffer(size.as_buffer() or b"", np.uint64) if size.is_valid else np.zeros(0, np.uint64)
+        for text, start, size in zip(utf8(batch.column("text")), batch.column("start"), batch.column("size"), strict=True):
+            starts, sizes = (np.frombuffer(x.as_buffer() or b"", np.uint32) if x.is_valid else np.zeros(0, np.uint32) for x in (start, size))
             _, a, b = _spans(np.zeros(len(starts), np.int64), starts, sizes)
             kept, at = [], 0
             for lo, hi in zip(a.tolist(), b.tolist(), strict=True):
@@ -379,12 +373,6 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def _release(spark) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut out every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
@@ -397,22 +385,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.withColumn("mark", F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     n = partitions(docs)
-    real = docs.filter("doc_id IS NOT NULL AND length(text) > 0")
+    real = docs.filter("doc_id IS NOT NULL AND length(text) > 0").drop("text_hash")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
     one = materialise(dealt(real.mapInArrow(_find(n), _PACKED)).mapInArrow(_compare(n), _PACKED), "contexts")
-    _release(spark)
+    release(spark)
     asked = one.filter(F.col("kind") == _ASK).repartition(n, "bucket").mapInArrow(_per_document(_ASK), _PER_DOCUMENT)
-    cut = real.join(asked, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).mapInArrow(_cut_out(n), _PACKED)
+    cut = real.join(asked, ["doc_id", "mark"]).mapInArrow(_cut_out, _PACKED)
     two = materialise(dealt(cut).mapInArrow(_sort_suffixes(n), _PACKED), "suffixes")
-    _release(spark)
-    spans = one.filter(F.col("kind") == _SPAN).unionByName(two.filter(F.col("kind") == _SPAN))
-    spans = spans.repartition(n, "bucket").mapInArrow(_per_document(_SPAN), _PER_DOCUMENT).select("doc_id", "text_hash", "start", "anchor")
-    both = docs.join(spans, ["doc_id", "text_hash"], "left")
-    return both.select("doc_id", "text_hash", "text", "start", "anchor").mapInArrow(_remove, "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    release(spark)
+    spans = one.unionByName(two).filter(F.col("kind") == _SPAN)
+    spans = spans.repartition(n, "bucket").mapInArrow(_per_document(_SPAN), _PER_DOCUMENT).select("doc_id", "mark", "start", "size")
+    both = docs.join(spans, ["doc_id", "mark"], "left")
+    return both.select("doc_id", "text_hash", "text", "start", "size").mapInArrow(_remove, "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
