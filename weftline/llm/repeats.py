@@ -30,6 +30,8 @@ _SIDE = LENGTH - GRAM
 _HALF = _SIDE // 2
 #: Anchors that a map task holds before it settles them among themselves and passes on the rest.
 BLOCK = 3_000_000
+#: Bytes that are suffix-sorted at once; bounds a worker's memory.
+SORTED_BYTES = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -328,9 +330,16 @@ def _sort_suffixes(buckets: int):
             _, back, count = np.unique(code, return_inverse=True, return_counts=True)
             keep[which] |= (count > 1)[back]
         which = np.flatnonzero(keep)
+        # Anchors are whole within a part, so parts are sorted one by one; a single anchor makes a part of any size.
+        parts = max(1, int(size[which].sum()) // SORTED_BYTES)
+        part = e["anchor"][which] % np.uint32(parts)
+        for k in range(parts):
+            yield from sort(which[part == k], text, begin, e, ids, marks)
+
+    def sort(which: np.ndarray, text: np.ndarray, begin: np.ndarray, e: dict, ids: np.ndarray, marks: np.ndarray):
         if len(which) < 2:
             return
-        n = size[which]
+        n = e["size"][which].astype(np.int64)
         fresh = np.cumsum(n + 1) - (n + 1)
         s = np.zeros(int((n + 1).sum()), np.int64)  # contexts with a 0 behind each; bytes are 1 to 256
         owner = np.repeat(np.arange(len(which)), n)
@@ -340,12 +349,11 @@ def _sort_suffixes(buckets: int):
         own = np.searchsorted(fresh, order, side="right") - 1
         full = order + LENGTH <= fresh[own] + n[own]
         order, own = order[full], own[full]
-        small = np.r_[s, np.zeros(LENGTH, np.int64)].astype(np.uint16)
-        views = np.lib.stride_tricks.sliding_window_view(small, LENGTH)
+        views = np.lib.stride_tricks.sliding_window_view(np.r_[s, np.zeros(LENGTH, np.int64)].astype(np.uint16), LENGTH)
         equal = np.zeros(len(order), bool)
         for lo in range(1, len(order), 200_000):
-            part = slice(lo, min(lo + 200_000, len(order)))
-            equal[part] = (views[order[part]] == views[order[lo - 1 : part.stop - 1]]).all(axis=1)
+            step = slice(lo, min(lo + 200_000, len(order)))
+            equal[step] = (views[order[step]] == views[order[lo - 1 : step.stop - 1]]).all(axis=1)
         doc = e["doc"][which][own]
         group = np.cumsum(~equal) - 1
         heads = np.flatnonzero(~equal)
