@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialise, text_batches
 
 #: Labelled rows that a model is learned from at most, as expected over a hash sample; ids decide, so any order of rows gives the same.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 #: Words and n-grams of each order that a language's table keeps at most, the most frequent first.
-TABLE = 30_000
+TABLE = 10_000
 #: Sizes of n-grams, tried longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose vectors a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -81,7 +81,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _grams(batches):
     """(lang, size, gram, n) of the words of a batch; size 0 is the word."""
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, limit=500_000):
         counts: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))

@@ -29,7 +29,7 @@ LENGTH = 50
 _SIDE = LENGTH - GRAM
 _HALF = _SIDE // 2
 #: Anchors that a map task holds before it settles them among themselves and passes on the rest.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 #: Bytes that are suffix-sorted at once; bounds a worker's memory.
 SORTED_BYTES = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
