@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -47,6 +48,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands a Python worker at once, in the session's settings: whole texts make large rows."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = re.match(r"(-?\d+)[bB]?$", str(spark.conf.get(key, "0")))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver's collector finds them unreferenced.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NOT_WORD, shingles, text_batches, words
+from weftline.llm.common import NOT_WORD, shingles, small_batches, text_batches, words
 
 RADIUS = 20
 BLOCKS = 8
@@ -137,6 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: t
     empty tables give no rows. The benchmark is read in blocks of ``items`` rows, each broadcast, so its size is
     bounded; documents are never shuffled.
     """
+    small_batches(docs.sparkSession)
     num, den = threshold
     spark = docs.sparkSession
     rest = [f for f in docs.schema if f.name != "text"]

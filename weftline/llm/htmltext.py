@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, text_batches
+from weftline.llm.common import materialise, small_batches, text_batches
 
 #: Tokens of a suffix's head: shorter repeats are left alone.
 HEAD = 6
@@ -224,6 +224,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html give an empty text. A null url belongs to a host without name. Pages of equal page_id are pages each;
     repeated rows count as distinct pages. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     parsed = materialise(pages.mapInArrow(_parsed, "page_id long, url string, main string, stream string, number long"), "parsed")
     counted = parsed.groupBy("number").agg(F.count("*").alias("n_pages"), F.first("stream").alias("stream"))

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, text_batches
+from weftline.llm.common import materialise, small_batches, text_batches
 
 #: Labelled rows that a model is learned from at most, as expected over a hash sample; ids decide, so any order of rows gives the same.
 TRAIN_ROWS = 8_000
@@ -20,7 +20,7 @@ TABLE = 10_000
 #: Sizes of n-grams, tried longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose vectors a worker remembers.
-REMEMBER = 100_000
+REMEMBER = 50_000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -103,6 +103,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, table: int = TABLE) -> Mo
 
     Frequencies are smoothed by one half, and a word must occur in two texts' worth of counts to be known. Null texts are left out.
     """
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     n = labelled.count()
     if n > rows:
@@ -141,6 +142,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     The whole text is read. Null texts and texts without a letter are ``und`` with score 0. Of equal languages the first
     in order wins. An empty table gives no rows, a model without languages ``und``.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
     return docs.select(*rest, F.col(text_col).alias("text")).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double")

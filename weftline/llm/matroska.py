@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_batches, utf8
+from weftline.llm.common import small_batches, text_batches, utf8
 
 # Fixed values of the format: element ids, with their length marker.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -304,6 +304,7 @@ def packet_table(files: DataFrame, media_col: str = "media") -> DataFrame:
     A null, empty or damaged file gives one row with nulls and error set, so that no file goes unseen. Columns of the
     files that clash with those named are left out. An empty table gives no rows.
     """
+    small_batches(files.sparkSession)
     new = {"track", "timestamp_ns", "keyframe", "lacing", "cluster", "start", "size", "cue", "error"}
     rest = [f for f in files.schema if f.name != media_col and f.name.lower() not in new]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
@@ -357,5 +358,6 @@ def op1_matroska_media(spark, sf_dir: str) -> DataFrame:
 
     Null texts are empty; repeated rows give repeated results; an empty table gives no rows.
     """
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

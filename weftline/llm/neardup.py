@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, mix, shingle_sets, text_batches, utf8
+from weftline.llm.common import materialise, mix, shingle_sets, small_batches, text_batches, utf8
 from weftline.llm.components import components
 
 #: Bands and rows a band: a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
@@ -153,6 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results; rows of equal id and different text are nodes of their own. An empty table gives no rows.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = materialise(docs.mapInArrow(_sign(k), "doc_id long, text_hash long, node long, n_shingles long, keys array<long>, sig binary"), "signed")

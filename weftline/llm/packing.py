@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, text_batches
+from weftline.llm.common import materialise, small_batches, text_batches
 
 CAPACITY = 4096
 END = 1
@@ -203,6 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     id 1. Repeated rows, and rows with null or equal ids, are packed each by itself. An empty table gives no rows.
     Other columns are ignored. The driver sees a count for each length up to the capacity, nothing that grows with the rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # Ranks within a length: by shard and then within it, so that no length is one task's work.

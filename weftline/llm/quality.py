@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, text_batches, utf8, words
+from weftline.llm.common import materialise, small_batches, text_batches, utf8, words
 from weftline.llm.language import held_out
 
 FEATURES = 256
@@ -180,6 +180,7 @@ def train(stats: DataFrame, ridge: float = RIDGE, bins: int = BINS) -> Model:
 
 def measured(docs: DataFrame) -> DataFrame:
     """The other columns of docs, with the text's statistics as packed doubles."""
+    small_batches(docs.sparkSession)
     rest = [f for f in docs.schema if f.name != "text"]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
 

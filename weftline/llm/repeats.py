@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _BYTE, materialise, mix, partitions, release, text_batches, utf8
+from weftline.llm.common import _BYTE, materialise, mix, partitions, release, small_batches, text_batches, utf8
 from weftline.llm.suffixarray import suffix_array
 
 GRAM = 16
@@ -391,6 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with equal ids aren't earlier than each other, so repeated rows of one id keep what no smaller id has.
     Rows with a null id keep everything and count for no other. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     docs = docs.withColumn("mark", F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, text_batches
+from weftline.llm.common import materialise, small_batches, text_batches
 
 #: Bytes of records after which a new archive begins; a longer record makes a longer one.
 ARCHIVE_BYTES = 4_000_000
@@ -140,6 +140,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     are revisits of it without the payload; all others are responses. Null html is an empty payload. Rows that repeat the
     smallest page_id are responses too; a null page_id is never the smallest, and a response where no other id is there.
     """
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     own = own.withColumn("digest", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256))
     first = own.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
