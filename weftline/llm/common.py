@@ -51,7 +51,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what Spark hands a Python worker at once, in the session's settings: whole texts make large rows."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = re.match(r"(-?\d+)[bB]?$", str(spark.conf.get(key, "0")))
+        now = re.match(r"(-?\d+)[bB]?$", str(spark.conf.get(key)))
         if not now or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))
 
