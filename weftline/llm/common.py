@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 np.seterr(over="ignore")
 
 #: Bytes of text that a kernel call works on at once; bounds a Python worker's memory.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15

@@ -29,7 +29,7 @@ LENGTH = 50
 _SIDE = LENGTH - GRAM
 _HALF = _SIDE // 2
 #: Anchors that a map task holds before it settles them among themselves and passes on the rest.
-BLOCK = 1_500_000
+BLOCK = 600_000
 #: Bytes that are suffix-sorted at once; bounds a worker's memory.
 SORTED_BYTES = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -320,9 +320,14 @@ def _sort_suffixes(buckets: int):
         size = e["size"].astype(np.int64)
         begin = np.cumsum(size) - size
         # A window reaches _HALF bytes or more to one side of its anchor; contexts that share no such side share no window.
-        least = (mix(_grams(text)) & ~_LOW) | np.arange(len(text) - GRAM + 1, dtype=np.uint64)
-        bounds = np.c_[begin, begin + size - GRAM + 1].ravel()
-        place = (np.minimum.reduceat(np.r_[least, ~np.uint64(0)], bounds)[::2] & _LOW).astype(np.int64) - begin
+        place = np.zeros(len(size), np.int64)
+        step = begin // SORTED_BYTES
+        for lo, hi in _runs(step):
+            some = text[begin[lo] : begin[hi - 1] + size[hi - 1]]
+            least = (mix(_grams(some)) & ~_LOW) | np.arange(len(some) - GRAM + 1, dtype=np.uint64)
+            own = begin[lo:hi] - begin[lo]
+            bounds = np.c_[own, own + size[lo:hi] - GRAM + 1].ravel()
+            place[lo:hi] = (np.minimum.reduceat(np.r_[least, ~np.uint64(0)], bounds)[::2] & _LOW).astype(np.int64) - own
         keep = np.zeros(len(size), bool)
         for fits, at in ((place >= _HALF, begin + place - _HALF), (size - place >= GRAM + _HALF, begin + place)):
             which = np.flatnonzero(fits)
