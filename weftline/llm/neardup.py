@@ -30,6 +30,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 #: Bucket size up to which unresolved components are compared pair by pair.
 SMALL_BUCKET = 8
+#: Leaders that a node is compared with in the first round of stars, and again in the second for what is still apart.
+LEADERS = 4
 
 _rng = np.random.default_rng(11)
 _A = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -172,10 +174,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(brief.toDF("a", "sig_a", "n_a"), "a").join(brief.toDF("b", "sig_b", "n_b"), "b")
         return both.mapInArrow(sequential, "a long, b long, hits long")
 
-    # Stars come first because they settle most buckets. Which pairs they hold doesn't matter for the result: a bucket
-    # that keeps several components goes on. Pairs that meet once only, in a larger bucket, mostly share a passage.
+    # Stars come first because they settle most buckets; a few leaders for each node do. Which pairs they hold doesn't
+    # matter for the result: a bucket that keeps several components goes on.
+    def few(met: DataFrame, most: int) -> DataFrame:
+        order = Window.partitionBy("b").orderBy(F.desc("bands"), F.xxhash64("a", "b"))
+        return met.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) | (F.col("least") == 2)).select("a", "b")
+
     met = buckets.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"), F.min("n_bucket").alias("least"))
-    stars = materialise(likely(met.filter("bands > 1 OR least = 2").select("a", "b")), "candidates")
+    tested = few(met, LEADERS)
+    stars = materialise(likely(tested), "candidates")
     loose = buckets.filter("n_bucket > 2")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(loose.select("node")).distinct()
     wanted = nodes.join(needed, "node").select("node", "at", F.col("text_hash"))
@@ -195,6 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(linked(rest))
     comp = materialise(components(links), "components")
 
+    apart = labelled(labelled(loose.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "n_bucket"), comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb")
+    apart = apart.groupBy("a", "b").agg(F.count("*").alias("bands"), F.lit(0).alias("least")).join(tested, ["a", "b"], "left_anti")
+    again = materialise(few(apart, 2 * LEADERS), "again")
+    tested = materialise(tested.union(again), "tested")
+    links = links.unionByName(linked(likely(again)))
+    comp = materialise(components(links), "components")
+
     known = labelled(loose, comp, "node", "comp")
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     unresolved = materialise(known.join(open_keys, "key"), "unresolved")
@@ -213,7 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).toDF("shingle", "b", "cb", "sb", "rb")
     fits = f"(sa < sb OR sa = sb AND a < b) AND ca <> cb AND {den} * sa >= {num} * sb AND (1 + least(sa - ra, sb - rb)) * {num + den} >= {num} * (sa + sb)"
     prefixed = left.join(right, F.expr(f"{fits}") & (left["shingle"] == right["shingle"])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = stars.select("a", "b")
     links = links.unionByName(linked(likely(crossing.union(prefixed).distinct().join(tested, ["a", "b"], "left_anti"))))
     comp = components(links)
 
