@@ -30,6 +30,8 @@ REMEMBER = 600_000
 
 #: What str.split() takes for white space and a tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Between a letter or digit and punctuation, where such a tokenizer always splits; an apostrophe may belong to a word.
+_EDGE = re.compile(r"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 _worker: dict[str, tuple] = {}
 
@@ -45,11 +47,11 @@ def tokenizer(path: str):
 
 
 def chunks(text: str) -> list[str]:
-    """The text between white space. Lower-cased where that can't change the ids: a lower-casing tokenizer gives the same for both."""
+    """The text between white space. Lower-cased and cut before punctuation where that can't change the ids, so that few chunks are new."""
     try:
         if "<|" not in text:  # may begin a special token
             text.encode("latin-1")
-            text = text.lower()
+            text = _EDGE.sub(" ", text.lower())
     except UnicodeEncodeError:
         pass
     return _CHUNK.findall(text) if _SEPARATORS.search(text) else text.split()
