@@ -204,22 +204,18 @@ def _heads(batches):
 
 def _main_text(batches):
     for batch in text_batches(batches, "stream"):
-        texts, repeated = [], []
-        for main, stream, places in zip(*[batch.column(c).to_pylist() for c in ("main", "stream", "places")], strict=True):
+        texts = []
+        for stream, places in zip(*[batch.column(c).to_pylist() for c in ("stream", "places")], strict=True):
             _, tokens, starts, side = _tokens(stream)
             covered = [False] * len(tokens)
             for p in places or ():
                 covered[p : p + HEAD] = [True] * HEAD
-            if main is None:
-                main = " ".join(b[1:] for b, lo, hi in zip(side, starts[:-1], starts[1:], strict=True) if b[0] == "1" and not all(covered[lo:hi]))
-            texts.append(main)
-            repeated.append(sum(covered))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(repeated, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated_tokens"])
+            texts.append(" ".join(b[1:] for b, lo, hi in zip(side, starts[:-1], starts[1:], strict=True) if b[0] == "1" and not all(covered[lo:hi])))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Main text of pages (page_id, url, html): page_id, url, text, n_chars (code points) and n_repeated_tokens (outside the
-    main element, covered by substrings that repeat on the host's other pages).
+    """Main text of pages (page_id, url, html): page_id, url, text and n_chars (code points).
 
     Null and empty html give an empty text. A null url belongs to a host without name. Pages of equal page_id are pages each;
     repeated rows count as distinct pages. An empty table gives no rows. Other columns are ignored.
@@ -231,8 +227,10 @@ def extract(pages: DataFrame) -> DataFrame:
     heads = materialise(counted.mapInArrow(_heads, "head long, number long, place int, n_pages long"), "heads")
     repeated = heads.groupBy("head").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.max("n_pages").alias("n")).filter("lo <> hi OR n > 1").select("head")
     places = heads.join(repeated, "head").groupBy("number").agg(F.collect_list("place").alias("places"))
-    both = parsed.join(places, "number", "left").select("page_id", "url", "main", "stream", "places")
-    return both.mapInArrow(_main_text, "page_id long, url string, text string, n_chars long, n_repeated_tokens long")
+    # Only pages without a main element wait for the repeats: the others' text isn't shuffled.
+    loose = parsed.filter("main IS NULL").join(places, "number", "left").select("page_id", "url", "stream", "places").mapInArrow(_main_text, "page_id long, url string, text string")
+    out = parsed.filter("main IS NOT NULL").select("page_id", "url", F.col("main").alias("text")).unionByName(loose)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_host_suffix_array(spark, sf_dir: str) -> DataFrame:
