@@ -7,8 +7,9 @@ Steps, each over all rows:
 2. Classes that share a band key are candidates. A bucket gives a star to its least class (linear in its size).
 3. The signatures of a candidate pair are compared in batches; it is dropped once the posterior probability of a
    similarity at the threshold or above falls under ``miss``. Survivors are verified on the full sets.
-4. Verified links make components. Buckets that still hold several components are finished: small ones by all
-   pairs across components, larger ones by an exact prefix-filter join (rarest shingles first), which needs no cap.
+4. Verified links make components, and a second round of stars joins more of them. The members of buckets of three or
+   more that still hold several components are compared by an exact prefix-filter join (rarest shingles first, across
+   components only), which needs no cap.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature values compared in one step of the sequential test.
 STEP = 16
-#: Bucket size up to which unresolved components are compared pair by pair.
-SMALL_BUCKET = 8
 #: Leaders that a node is compared with in the first round of stars, and again in the second for what is still apart.
 LEADERS = 4
 
@@ -212,9 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = labelled(loose, comp, "node", "comp")
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     unresolved = materialise(known.join(open_keys, "key"), "unresolved")
-    small = unresolved.filter(F.col("n_bucket") <= SMALL_BUCKET).select("key", "node", "comp")
-    crossing = small.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb")), "key").filter("a < b AND ca <> cb").select("a", "b")
-    large = unresolved.filter(F.col("n_bucket") > SMALL_BUCKET).select("node", "comp").distinct()
+    large = unresolved.select("node", "comp").distinct()
     rare = large.join(sets, "node").mapInArrow(_members, "node long, comp long, size long, shingle long")
     rare = materialise(rare, "members")
     ranked = rare.join(rare.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "shingle", "left")
@@ -227,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).toDF("shingle", "b", "cb", "sb", "rb")
     fits = f"(sa < sb OR sa = sb AND a < b) AND ca <> cb AND {den} * sa >= {num} * sb AND (1 + least(sa - ra, sb - rb)) * {num + den} >= {num} * (sa + sb)"
     prefixed = left.join(right, F.expr(f"{fits}") & (left["shingle"] == right["shingle"])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(linked(likely(crossing.union(prefixed).distinct().join(tested, ["a", "b"], "left_anti"))))
+    links = links.unionByName(linked(likely(prefixed.distinct().join(tested, ["a", "b"], "left_anti"))))
     comp = components(links)
 
     least = labelled(nodes.select("node", "least"), comp, "node", "comp")
