@@ -140,8 +140,18 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
         share = np.where(demand > 0, rest / demand, 0)
         weight[kinds] *= np.exp(-0.05 * np.minimum(1, np.maximum(uses / np.maximum(rest[kinds], 1), 0.02 + share.mean() - share[kinds])))
         weight /= weight.max()
-    remaining = {int(k): int(n) for k, n in zip(lengths, rest, strict=True) if n > 0}
-    return out + best_fit(remaining, capacity)
+    # Rounding: the later configurations were priced on scarce lengths; keep as many as give the fewest sequences in all.
+    best = None
+    for share in (4, 3, 2, 1, 0):
+        kept = out[: len(out) * share // 4]
+        remaining = dict(counts)
+        for chosen, times in kept:
+            for k in chosen:
+                remaining[k] -= times
+        whole = kept + best_fit({k: n for k, n in remaining.items() if n > 0}, capacity)
+        if best is None or sum(t for _, t in whole) < sum(t for _, t in best):
+            best = whole
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
