@@ -31,7 +31,7 @@ _HALF = _SIDE // 2
 #: Anchors that a map task holds before it settles them among themselves and passes on the rest.
 BLOCK = 600_000
 #: Bytes that are suffix-sorted at once; bounds a worker's memory.
-SORTED_BYTES = 1_000_000
+SORTED_BYTES = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     docs = docs.withColumn("mark", F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)))
-    n = partitions(docs)
+    n = 2 * partitions(docs)
     real = docs.filter("doc_id IS NOT NULL AND length(text) > 0").drop("text_hash")
 
     def dealt(df: DataFrame) -> DataFrame:
