@@ -178,7 +178,7 @@ def _least(key: list[np.ndarray], doc_id: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, doc_id[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc_id
 
 
-def _find(buckets: int):
+def _find(buckets: int, shards: int):
     """Texts to contexts: those settled within a block as spans, one document's of each distinct other as entries."""
 
     def settle(refs: _Refs, held: list[tuple]):
@@ -189,7 +189,7 @@ def _find(buckets: int):
         order, least = _least([anchor, code], ids[doc])
         doc, anchor, code, start, size = (x[order] for x in (doc, anchor, code, start, size))
         done = least < ids[doc]
-        yield from _deal_spans(buckets, ids, marks, doc[done], start[done], size[done])
+        yield from _deal_spans(shards, ids, marks, doc[done], start[done], size[done])
         doc, anchor, code, start, size = (x[~done] for x in (doc, anchor, code, start, size))
         columns = {"anchor": anchor // np.uint64(buckets) & _LOW, "code": code & _LOW, "code_top": code >> np.uint64(48), "start": start, "size": size}
         yield from _deal(_ENTRY, anchor, buckets, ids, marks, doc, columns)
@@ -400,17 +400,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     docs = docs.withColumn("mark", F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)))
-    n = 2 * partitions(docs)
+    n, shards = 2 * partitions(docs), max(4, partitions(docs) // 4)  # packed rows: at most one for each pair of these
     real = docs.filter("doc_id IS NOT NULL AND length(text) > 0").drop("text_hash")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    one = materialise(dealt(real.mapInArrow(_find(n), _PACKED)).mapInArrow(_compare(n), _PACKED), "contexts")
+    one = materialise(dealt(real.mapInArrow(_find(n, shards), _PACKED)).mapInArrow(_compare(shards), _PACKED), "contexts")
     release(spark)
     asked = one.filter(F.col("kind") == _ASK).repartition(n, "bucket").mapInArrow(_per_document(_ASK), _PER_DOCUMENT)
     cut = real.join(asked, ["doc_id", "mark"]).mapInArrow(_cut_out, _PACKED)
-    two = materialise(dealt(cut).mapInArrow(_sort_suffixes(n), _PACKED), "suffixes")
+    two = materialise(dealt(cut).mapInArrow(_sort_suffixes(shards), _PACKED), "suffixes")
     release(spark)
     spans = one.unionByName(two).filter(F.col("kind") == _SPAN)
     spans = spans.repartition(n, "bucket").mapInArrow(_per_document(_SPAN), _PER_DOCUMENT).select("doc_id", "mark", "start", "size")
