@@ -3,7 +3,7 @@ import os
 import pytest
 
 from tests.compare import connect, differences
-from weftline.plans import catalogue
+from weftline.plans import catalogue, signals  # noqa: F401  (signals registers its queries)
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
