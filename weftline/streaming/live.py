@@ -1,6 +1,6 @@
-"""The time-series operators on streams: windows, gap sessions, and late rows kept for a report.
+"""The time-series operators on streams: windows and gap sessions.
 
-State is bounded by the watermark. What comes later than it is not dropped unseen: ``late`` marks it first.
+State is bounded by the watermark; rows that come later than it are dropped.
 """
 
 from __future__ import annotations
