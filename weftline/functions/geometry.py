@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Residual of orthonormality at which a pose's confidence is 0.
+# Fixed value: residual of orthonormality at which a pose's confidence is 0.
 ORTHONORMAL = 0.05
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a tag may not hold, its greatest length, and the form of run ids.
+NOT_IN_TAG = "[^A-Za-z0-9._-]+"
+TAG_LENGTH = 48
+RUN_ID = r"^(.+)__(\d{8}T\d{6}Z)__([0-9a-f]{7,40}|nogit)$"
+
 
 def parts(path: Column) -> Column:
     """Components of a relative path without its extension; empty ones, . and .. are left out."""
@@ -30,7 +35,7 @@ def speaker(path: Column, by: str | None) -> Column:
 def tag(name: Column) -> Column:
     """A dataset's name made fit for a path: other characters than letters, digits, . _ - become -, at most 48; run if none."""
     ends = r"^[-._]+|[-._]+$"
-    cut = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "-"), ends, ""), 1, 48), ends, "")
+    cut = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(name, NOT_IN_TAG, "-"), ends, ""), 1, TAG_LENGTH), ends, "")
     return F.when(cut != "", cut).otherwise("run")
 
 
@@ -41,6 +46,5 @@ def run_id(name: Column, moment: Column, revision: Column) -> Column:
 
 def parse_run_id(text: Column) -> Column:
     """The parts of a run id as a struct; raises on other texts."""
-    pattern = r"^(.+)__(\d{8}T\d{6}Z)__([0-9a-f]{7,40}|nogit)$"
-    fields = F.struct(*[F.regexp_extract(text, pattern, i + 1).alias(n) for i, n in enumerate(("tag", "timestamp", "revision"))])
-    return F.when(text.rlike(pattern), fields).otherwise(F.raise_error(F.concat(F.lit("no run id: "), text)).cast("struct<tag:string,timestamp:string,revision:string>"))
+    fields = F.struct(*[F.regexp_extract(text, RUN_ID, i + 1).alias(n) for i, n in enumerate(("tag", "timestamp", "revision"))])
+    return F.when(text.rlike(RUN_ID), fields).otherwise(F.raise_error(F.concat(F.lit("no run id: "), text)).cast("struct<tag:string,timestamp:string,revision:string>"))
