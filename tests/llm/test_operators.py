@@ -220,6 +220,26 @@ def test_html_main_text(spark):
     assert got == {1: "T & t ab c", 2: "own text number 2 goes on here for long", 3: "own text number 3 goes on here for long", 4: "", 5: "", 6: "a < b <i>"}
 
 
+def test_html_copies_without_main_keep_their_text(spark):
+    rnd = random.Random(8)
+    passage = lambda n=30: " ".join(f"w{rnd.randrange(99999)}" for _ in range(n))
+    nav = "<div>Home Shop Blog About Contact Help Jobs</div>"
+    plain = lambda *p: f"<body>{nav}" + "".join(f"<p>{x}</p>" for x in p)
+    same, shared, last, other, new = passage(), [passage() for _ in range(9)], passage(), passage(), passage()
+    pages = [
+        (1, "http://h/1", plain(same)), (2, "http://h/2", plain(same)), (2, "http://h/2", plain(same)), (3, "http://h/3", plain(same) + "<footer>printed today"), (4, "http://h/4", plain(other)),
+        (5, "http://g/5", plain(*shared, last)), (6, "http://g/6", plain(*shared, new)), (7, "http://g/7", plain(*shared)), (8, "http://g/8", plain(other)),
+        (9, "http://e/9", f"<article><div class=ad>buy</div></article><p>{other}</p>"), (10, "http://c/10", plain()), (11, "http://c/11", plain(other)),
+        (12, "http://a/12", f"{nav}<article>{same}</article>"), (13, "http://a/13", f"{nav}<article>{other}</article>"), (14, "http://a/14", plain(last)),
+    ]
+    menu, whole = "Home Shop Blog About Contact Help Jobs", " ".join(shared)
+    got = sorted((r.page_id, r.text) for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert got == [
+        (1, same), (2, same), (2, same), (3, same), (4, other), (5, f"{whole} {last}"), (6, f"{whole} {new}"), (7, whole), (8, other),
+        (9, other), (10, menu), (11, other), (12, same), (13, other), (14, last),
+    ]
+
+
 def test_pipeline_runs_and_keeps_clean_documents(spark):
     import corpus_pipeline
 

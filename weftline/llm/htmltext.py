@@ -3,8 +3,12 @@
 A page is cut into blocks, each in one of three zones: *main* (inside an article or main element), *chrome* (marked as menu,
 header, footer, sidebar, notice, advert, form or comments by its element, role, class or id), and *other*. The visible
 text outside main is the page's token stream. Over each host, the heads of all suffixes of the distinct streams are
-grouped: a head of HEAD tokens that starts in streams of distinct pages repeats, and chained heads are the long repeated
-substrings. A page without a main element keeps those other blocks of which some token isn't covered.
+grouped: a head of HEAD tokens that starts in streams of distinct contents repeats, and chained heads are the long repeated
+substrings. A page without text in a main element keeps those other blocks of which some token isn't covered, or all of them
+if none is left.
+
+The content of a page is its main text, or without one its unmarked blocks. Copies are one content, and so are near copies
+(as in neardup) among pages without main text: what only they share is what they say, not boilerplate.
 
 Repeats never remove text inside main: articles quote each other, and such passages belong to the main text.
 """
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise, small_batches, text_batches
+from weftline.llm.neardup import near_duplicates
 
 #: Tokens of a suffix's head: shorter repeats are left alone.
 HEAD = 6
@@ -169,13 +174,21 @@ def _parsed(batches):
         rows = []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found, has_main = blocks(page or "")
-            main = " ".join(t for zone, chrome, t in found if zone == MAIN and not chrome) if has_main else None
+            # An article without text of its own is none.
+            main = " ".join(t for zone, chrome, t in found if zone == MAIN and not chrome) or None if has_main else None
             # "1" before a block that may be main text, "0" before one marked as chrome.
             side = [f"{int(not chrome)}{t}" for zone, chrome, t in found if zone == OTHER or chrome]
             stream = "\n".join([host_of(url), *side])
-            rows.append((main, stream, xxhash.xxh3_64_intdigest(stream) - (1 << 63)))
-        main, stream, number = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(main, pa.string()), pa.array(stream, pa.string()), pa.array(number, pa.int64())], names=["page_id", "url", "main", "stream", "number"])
+            content = "\n".join([host_of(url), *([b for b in side if b[0] == "1"] if main is None else ["", main])])
+            rows.append((main, stream, *[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in (stream, content)]))
+        main, stream, number, content = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(main, pa.string()), pa.array(stream, pa.string()), pa.array(number, pa.int64()), pa.array(content, pa.int64())], names=["page_id", "url", "main", "stream", "number", "content"])
+
+
+def _unmarked(batches):
+    for batch in text_batches(batches, "stream"):
+        texts = [" ".join(b[1:] for b in stream.split("\n")[1:] if b[0] == "1") for stream in batch.column("stream").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(texts, pa.string())], names=["content", "text"])
 
 
 def _tokens(stream: str) -> tuple[str, list[str], list[int], list[str]]:
@@ -191,15 +204,16 @@ def _tokens(stream: str) -> tuple[str, list[str], list[int], list[str]]:
 
 def _heads(batches):
     for batch in text_batches(batches, "stream"):
-        heads, numbers, places, pages = [], [], [], []
-        for number, stream, n in zip(*[batch.column(c).to_pylist() for c in ("number", "stream", "n_pages")], strict=True):
+        heads, numbers, places, least, most = [], [], [], [], []
+        for number, stream, lo, hi in zip(*[batch.column(c).to_pylist() for c in ("number", "stream", "lo", "hi")], strict=True):
             host, tokens, _, _ = _tokens(stream)
             for i in range(len(tokens) - HEAD + 1):
                 heads.append(xxhash.xxh3_64_intdigest("\0".join([host, *tokens[i : i + HEAD]])) - (1 << 63))
                 numbers.append(number)
                 places.append(i)
-                pages.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), pa.array(pages, pa.int64())], names=["head", "number", "place", "n_pages"])
+                least.append(lo)
+                most.append(hi)
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], names=["head", "number", "place", "lo", "hi"])
 
 
 def _main_text(batches):
@@ -210,7 +224,8 @@ def _main_text(batches):
             covered = [False] * len(tokens)
             for p in places or ():
                 covered[p : p + HEAD] = [True] * HEAD
-            texts.append(" ".join(b[1:] for b, lo, hi in zip(side, starts[:-1], starts[1:], strict=True) if b[0] == "1" and not all(covered[lo:hi])))
+            own = [b[1:] for b, lo, hi in zip(side, starts[:-1], starts[1:], strict=True) if b[0] == "1" and not all(covered[lo:hi])]
+            texts.append(" ".join(own or [b[1:] for b in side if b[0] == "1"]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -218,16 +233,24 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of pages (page_id, url, html): page_id, url, text and n_chars (code points).
 
     Null and empty html give an empty text. A null url belongs to a host without name. Pages of equal page_id are pages each;
-    repeated rows count as distinct pages. An empty table gives no rows. Other columns are ignored.
+    repeated rows and copies each give the text. A page that has unmarked blocks never loses all of them to repeats. An empty
+    table gives no rows. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    parsed = materialise(pages.mapInArrow(_parsed, "page_id long, url string, main string, stream string, number long"), "parsed")
-    counted = parsed.groupBy("number").agg(F.count("*").alias("n_pages"), F.first("stream").alias("stream"))
-    heads = materialise(counted.mapInArrow(_heads, "head long, number long, place int, n_pages long"), "heads")
-    repeated = heads.groupBy("head").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.max("n_pages").alias("n")).filter("lo <> hi OR n > 1").select("head")
+    parsed = materialise(pages.mapInArrow(_parsed, "page_id long, url string, main string, stream string, number long, content long"), "parsed")
+    witnesses = parsed.select("number", "content", F.col("content").alias("group")).distinct()
+    unmarked = parsed.filter("main IS NULL").groupBy("content").agg(F.first("stream").alias("stream")).mapInArrow(_unmarked, "content long, text string")
+    unmarked = materialise(unmarked.filter("text <> ''"), "unmarked")
+    if not unmarked.isEmpty():
+        near = near_duplicates(unmarked, "content").select(F.col("doc_id").alias("content"), "component_id")
+        witnesses = witnesses.join(near, "content", "left").select("number", F.coalesce("component_id", "content").alias("group"))
+    witnesses = witnesses.groupBy("number").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    streams = parsed.groupBy("number").agg(F.first("stream").alias("stream")).join(witnesses, "number")
+    heads = materialise(streams.mapInArrow(_heads, "head long, number long, place int, lo long, hi long"), "heads")
+    repeated = heads.groupBy("head").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("head")
     places = heads.join(repeated, "head").groupBy("number").agg(F.collect_list("place").alias("places"))
-    # Only pages without a main element wait for the repeats: the others' text isn't shuffled.
+    # Only pages without main text wait for the repeats: the others' text isn't shuffled.
     loose = parsed.filter("main IS NULL").join(places, "number", "left").select("page_id", "url", "stream", "places").mapInArrow(_main_text, "page_id long, url string, text string")
     out = parsed.filter("main IS NOT NULL").select("page_id", "url", F.col("main").alias("text")).unionByName(loose)
     return out.withColumn("n_chars", F.length("text").cast("long"))
