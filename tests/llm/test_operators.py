@@ -152,6 +152,28 @@ def test_configurations_hold_every_piece():
     assert sum(t for _, t in configs) <= sum(t for _, t in packing.best_fit(counts, 100))
 
 
+def test_configurations_come_near_a_perfect_packing():
+    rng, counts = np.random.default_rng(0), {}
+    for _ in range(20):
+        for k in np.diff(np.r_[0, np.sort(rng.choice(np.arange(1, 512), int(rng.integers(2, 6)), replace=False)), 512]).tolist():
+            counts[k] = counts.get(k, 0) + 10000
+    configs, packed = packing.configurations(counts, 512), {}
+    for lengths, times in configs:
+        assert sum(lengths) <= 512
+        for k in lengths:
+            packed[k] = packed.get(k, 0) + times
+    assert packed == counts
+    assert sum(t for _, t in configs) <= 200_005
+    solved, bound = packing.program(counts, 512)
+    assert bound <= 200_000 + 1e-6 and sum(x for _, x in solved) <= (1 + packing.GAP) * bound
+
+
+def test_dual_bound_proves_what_tokens_do_not():
+    solved, bound = packing.program({60: 1000, 50: 400, 45: 7}, 100)
+    assert abs(bound - 1203.5) < 1e-6 and abs(sum(x for _, x in solved) - bound) < 0.02
+    assert packing.configurations({}, 100) == [] and packing.program({}, 100) == ([], 0.0)
+
+
 def test_language_held_out_accuracy(spark, odd):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     got = language.op3_language_id(spark, DIR).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()

@@ -1,18 +1,21 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
-The pieces' lengths are counted; the program over *configurations* (multisets of lengths that fit one sequence) is
-solved by multiplicative weights: lengths hold prices, a knapsack dynamic program finds the configuration of the
-highest price, and the prices of what it packs fall. The configurations' shares are rounded down to whole sequences
-and the rest, at most a few for each configuration, is packed by best fit. All of that works on counts by length,
-whatever the number of documents; pieces then find their places by length and rank.
+The pieces' lengths are counted; the program over *configurations* (multisets of lengths that fit one sequence) starts
+from fractional best fit and is solved by column generation: the simplex method prices the lengths, a knapsack dynamic
+program finds configurations worth more than a sequence, and they enter the solution. The same prices bound every packing
+from below; it ends at a stated gap between solution and bound. The solution is rounded down to whole sequences and the
+rest, at most a few for each configuration, is packed by best fit. All of that works on counts by length, whatever the
+number of documents; pieces then find their places by length and rank.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,11 @@ from weftline.llm.common import materialise, small_batches, text_batches
 
 CAPACITY = 4096
 END = 1
-#: Configurations priced at most.
-ROUNDS = 250
+#: The program is solved once its solution is within this share of the dual bound.
+GAP = 0.00001
+#: Knapsacks at most for each length, configurations that enter after one, and the pivots between fresh inverses.
+ROUNDS, ENTER, FRESH = 10, 200, 400
+PULL = 0.8
 #: Chunks of text whose ids a worker remembers.
 REMEMBER = 600_000
 
@@ -92,65 +98,139 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[int]:
-    """Indices of lengths (with repeats) of the highest total price that fit the capacity; lengths ascend, none is 0."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int = 1) -> tuple[float, list[list[int]]]:
+    """The highest total price of what fits the capacity, and the best configurations, each led by another length, at most so many.
+
+    Configurations are indices of lengths, with repeats. Lengths ascend, none is 0 and prices are above 0.
+    """
     value = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, c, side="right"))
+        n = ends[c]
         value[c] = value[c - 1]
         if n:
             gain = value[c - lengths[:n]] + prices[:n]
             best = int(gain.argmax())
             if gain[best] > value[c]:
                 value[c], last[c] = gain[best], best
-    out, c = [], capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            out.append(int(last[c]))
-            c -= int(lengths[last[c]])
+    led, out = value[capacity - lengths] + prices, []
+    for first in np.argsort(-led, kind="stable")[:most].tolist():
+        chosen, c = [first], capacity - int(lengths[first])
+        while c > 0:
+            if last[c] < 0:
+                c -= 1
+            else:
+                chosen.append(int(last[c]))
+                c -= int(lengths[last[c]])
+        out.append(sorted(chosen))
+    return float(value[capacity]), out
+
+
+def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[list[int]]:
+    """Best fit in fractions of sequences: for each length the configuration that used it up, together a triangular basis."""
+    out, left, live = [[]] * len(lengths), demand.copy(), list(range(len(lengths)))
+    sizes = lengths.tolist()
+    while live:
+        room, uses, keys = capacity, {}, [sizes[i] for i in live]
+        at = len(live) - 1
+        while at >= 0:
+            i = live[at]
+            if n := int(min(room // sizes[i], np.ceil(left[i]))):
+                uses[i] = n
+                room -= n * sizes[i]
+            at = min(at - 1, bisect_right(keys, room) - 1)
+        times, first = min((left[i] / n, i) for i, n in uses.items())
+        for i, n in uses.items():
+            left[i] = max(0.0, left[i] - n * times)
+        out[first] = [i for i, n in uses.items() for _ in range(n)]
+        live.remove(first)
     return out
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, longest first) and how many sequences take each; together they hold every piece once.
+def program(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, rounds: int | None = None) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """The fractional solution, as configurations (lengths, longest first) with their shares, and the dual bound on sequences.
 
-    The demand left after each configuration sets the prices: a length packed ahead of its share gets cheaper by the
-    multiplicative rule. A configuration is taken for the largest number of sequences of which its scarcest length
-    leaves enough, divided by the rounds it is spread over; what is left goes by best fit, longest first.
+    Solved to the gap, or as far as so many knapsacks go: ROUNDS for each length if none are given.
     """
-    left = {k: n for k, n in counts.items() if n > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
-    lengths = np.array(sorted(left), np.int64)
-    demand = np.array([left[int(x)] for x in lengths], float)
-    rest, weight = demand.copy(), np.ones(len(lengths))
-    for _ in range(rounds if len(lengths) else 0):
-        live = np.flatnonzero(rest >= 1)
-        if not len(live):
+    lengths = np.array(sorted(k for k, n in counts.items() if n > 0), np.int64)
+    m = len(lengths)
+    if not m:
+        return [], 0.0
+    demand = np.array([counts[int(k)] for k in lengths], float)
+    bound = float(demand @ lengths) / capacity
+    # A little more of each length, so that no two are used up at once.
+    wanted = demand * (1 + 1e-7 * np.random.default_rng(5).random(m))
+    basis = _fractional(lengths, wanted, capacity)
+
+    def matrix() -> np.ndarray:
+        out = np.zeros((m, m))
+        for j, chosen in enumerate(basis):
+            np.add.at(out[:, j], chosen, 1)
+        return out
+
+    inverse, pivots = None, FRESH
+    # Prices are drawn to those of the best bound, which keeps them from swinging; as far as no configuration enters, less so.
+    held, pull = lengths / capacity, PULL
+    shares = np.maximum(np.linalg.solve(matrix(), wanted), 0)
+    for _ in range(ROUNDS * m if rounds is None else rounds):
+        if shares.sum() <= max((1 + gap) * bound, np.ceil(bound - 1e-6)):  # no packing takes less than whole sequences
             break
-        chosen = knapsack(lengths[live], weight[live] * lengths[live], capacity)
-        kinds, uses = np.unique(live[chosen], return_counts=True)
-        times = int((rest[kinds] // uses).min())
-        if times:
-            times = max(1, times // 2)
-            rest[kinds] -= times * uses
-            out.append((tuple(sorted((int(x) for x in np.repeat(lengths[kinds], uses)), reverse=True)), times))
-        share = np.where(demand > 0, rest / demand, 0)
-        weight[kinds] *= np.exp(-0.05 * np.minimum(1, np.maximum(uses / np.maximum(rest[kinds], 1), 0.02 + share.mean() - share[kinds])))
-        weight /= weight.max()
-    # Rounding: the later configurations were priced on scarce lengths; keep as many as give the fewest sequences in all.
-    best = None
-    for share in (4, 3, 2, 1, 0):
-        kept = out[: len(out) * share // 4]
-        remaining = dict(counts)
-        for chosen, times in kept:
-            for k in chosen:
-                remaining[k] -= times
-        whole = kept + best_fit({k: n for k, n in remaining.items() if n > 0}, capacity)
-        if best is None or sum(t for _, t in whole) < sum(t for _, t in best):
-            best = whole
+        if pivots >= FRESH:
+            inverse, pivots = np.linalg.inv(matrix()), 0
+            shares, prices = np.maximum(inverse @ wanted, 0), inverse.sum(axis=0)
+        drawn = pull * held + (1 - pull) * np.maximum(prices, 0)
+        worth = np.flatnonzero(drawn > 1e-12)
+        best, found = knapsack(lengths[worth], drawn[worth], capacity, ENTER)
+        if (least := float(demand @ drawn) / best) > bound:
+            bound, held = least, drawn / best
+        if not pull and best <= 1 + 1e-9:
+            break
+        entered = pivots
+        for chosen in {tuple(c): None for c in found}:
+            kinds, uses = np.unique(worth[list(chosen)], return_counts=True)
+            gain = float(prices[kinds] @ uses) - 1
+            if gain <= 1e-9:
+                continue
+            step = inverse[:, kinds] @ uses
+            falls = np.flatnonzero(step > 1e-9)
+            ratio = shares[falls] / step[falls]
+            out = int(falls[ratio.argmin()])
+            times, row = float(ratio.min()), inverse[out] / step[out]
+            moved = np.flatnonzero(np.abs(step) > 1e-12)
+            shares[moved] = np.maximum(shares[moved] - times * step[moved], 0)
+            inverse[moved] -= step[moved, None] * row
+            inverse[out], shares[out] = row, times
+            prices -= gain * row
+            basis[out] = np.repeat(kinds, uses).tolist()
+            pivots += 1
+        pull = PULL if pivots > entered else pull / 2 if pull > 0.1 else 0
+    return [(tuple(sorted((int(lengths[i]) for i in chosen), reverse=True)), float(x)) for chosen, x in zip(basis, shares, strict=True) if x > 0], bound
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (lengths, longest first) and how many sequences take each; together they hold every piece once.
+
+    The program's solution rounded: whole shares first, then once more those of the largest fractions that still find all
+    their pieces, or none of these, and the rest by best fit, longest first; or best fit alone where that takes no more.
+    """
+    best = best_fit({k: n for k, n in counts.items() if n > 0}, capacity)
+    if sum(t for _, t in best) * capacity < sum(k * n for k, n in counts.items()) + capacity:
+        return best  # as few sequences as the tokens fill
+    solved, bound = program(counts, capacity, GAP, rounds)
+    for above in (1.0, 0.5, 0.0):
+        left, kept = dict(counts), []
+        for more in (False, True):
+            for chosen, x in sorted(solved, key=lambda c: -(c[1] % 1)):
+                kinds = {k: chosen.count(k) for k in chosen}
+                times = min([int(x + 1e-4) if not more else int(x % 1 > above), *(left[k] // n for k, n in kinds.items())])
+                if times:
+                    kept.append((chosen, times))
+                    for k, n in kinds.items():
+                        left[k] -= n * times
+        whole = kept + best_fit({k: n for k, n in left.items() if n > 0}, capacity)
+        best = min(best, whole, key=lambda c: sum(t for _, t in c))
+    logging.getLogger(__name__).info("packing: %d sequences; the program's solution has %.1f, the dual bound is %.1f", sum(t for _, t in best), sum(x for _, x in solved), bound)
     return best
 
 
