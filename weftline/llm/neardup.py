@@ -7,9 +7,10 @@ Steps, each over all rows:
 2. Classes that share a band key are candidates. A bucket gives a star to its least class (linear in its size).
 3. The signatures of a candidate pair are compared in batches; it is dropped once the posterior probability of a
    similarity at the threshold or above falls under ``miss``. Survivors are verified on the full sets.
-4. Verified links make components, and a second round of stars joins more of them. The members of buckets of three or
-   more that still hold several components are compared by an exact prefix-filter join (rarest shingles first, across
-   components only), which needs no cap.
+4. Verified links make components. The members of buckets of three or more that still hold several components are told by
+   how they differ from the bucket's leader; members that link must share differences, and the more so the farther they are
+   from the leader, so an exact prefix-filter join over differences, across components only, finds the rest without a cap.
+   Members of a large group that were each changed in their own way share none, and make no pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature values compared in one step of the sequential test.
 STEP = 16
-#: Leaders that a node is compared with in the first round of stars, and again in the second for what is still apart.
+#: Leaders that a node is compared with; what stays apart goes on.
 LEADERS = 4
 
 _rng = np.random.default_rng(11)
@@ -133,13 +134,37 @@ def _exact(num: int, den: int):
     return run
 
 
-def _members(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            values = np.frombuffer(batch.column("members")[i].as_buffer(), np.int64)
-            for lo in range(0, len(values), 65536):
-                part = values[lo : lo + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("node")[i].as_py())), pa.array(np.full(len(part), batch.column("comp")[i].as_py())), pa.array(np.full(len(part), len(values))), pa.array(part)], names=["node", "comp", "size", "shingle"])
+def _differences(num: int, den: int):
+    """Members of an open bucket as what they lack of its leader's set and what they have besides: one row a prefix place.
+
+    For m shingles lacking and e added, cost = den * m + num * e. Two members of differences D and E are linked if and only
+    if (num + den) * |D & E| >= cost + cost' - free, with free = (den - num) * |leader's set|; a member is linked with the
+    leader if its cost is at most free. So of two members at least one costs more than free, and the costlier one needs an
+    overlap of (cost - free) / den, the other one of what its own cost and the partner's least leave. Added shingles come
+    first, as they are the rarer ones: all but so many of the last places make the prefix in which the two must meet.
+    """
+
+    def run(batches):
+        for batch in batches:
+            refs, comps, ref_comps = (batch.column(c).to_numpy() for c in ("ref", "comp", "ref_comp"))
+            for i in range(batch.num_rows):
+                own, base = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_node", "set_ref"))
+                added, lacking = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+                cost, free, n = den * len(lacking) + num * len(added), (den - num) * len(base), len(added) + len(lacking)
+                light = n + 1 - max(1, -(-(cost + max(cost, free + 1) - free) // (num + den)))
+                heavy = n + 1 - -(-(cost - free) // den) if cost > free else 0
+                both = np.concatenate([added, lacking])[: max(light, heavy, 1)].view(np.int64)
+                k, label = len(both), ref_comps[i] if cost <= free else comps[i]
+                node = batch.column("node")[i].as_py()
+                for lo in range(0, k, 65536):
+                    part = both[lo : lo + 65536]
+                    rest = [np.full(len(part), x) for x in (refs[i], node, label, comps[i] != ref_comps[i], len(own), n, cost, free, light, heavy)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, rest), pa.array(np.arange(lo + 1, lo + 1 + len(part))), pa.array(part)], names=["ref", "node", "label", "apart", "size", "n", "cost", "free", "light", "heavy", "rank", "shingle"])
+
+    return run
+
+
+_DIFFERENCES = "ref long, node long, label long, apart boolean, size long, n long, cost long, free long, light long, heavy long, rank long, shingle long"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100), miss: float = 1e-6) -> DataFrame:
@@ -164,8 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     brief = nodes.select("node", "sig", F.col("n_shingles").alias("n"))
 
     placed_keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = placed_keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n_bucket")).filter("n_bucket > 1")
-    buckets = materialise(placed_keys.join(shared, "key"), "buckets")
+    shared = placed_keys.groupBy("key").agg(F.count("*").alias("n_bucket")).filter("n_bucket > 1")
+    met = materialise(placed_keys.join(shared, "key"), "met")
+    # The leader is the member that meets most others over all its buckets: of near copies the one that was changed least.
+    weight = met.groupBy("node").agg(F.sum("n_bucket").alias("weight"))
+    leaders = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
+    buckets = materialise(met.join(leaders, "key"), "buckets")
 
     sequential = _sequential(bayes_limits(num / den, miss), num, den)
 
@@ -174,14 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.mapInArrow(sequential, "a long, b long, hits long")
 
     # Stars come first because they settle most buckets; a few leaders for each node do. Which pairs they hold doesn't
-    # matter for the result: a bucket that keeps several components goes on.
-    def few(met: DataFrame, most: int) -> DataFrame:
-        order = Window.partitionBy("b").orderBy(F.desc("bands"), F.xxhash64("a", "b"))
-        return met.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) | (F.col("least") == 2)).select("a", "b")
-
-    met = buckets.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"), F.min("n_bucket").alias("least"))
-    tested = few(met, LEADERS)
-    stars = materialise(likely(tested), "candidates")
+    # matter for the result: a bucket that keeps several components goes on, and a bucket of two is a pair itself.
+    order = Window.partitionBy("b").orderBy(F.desc("bands"), "a")
+    stars = buckets.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"), F.min("n_bucket").alias("least"))
+    stars = stars.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= LEADERS) | (F.col("least") == 2)).select("a", "b")
+    stars = materialise(likely(stars), "candidates")
     loose = buckets.filter("n_bucket > 2")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(loose.select("node")).distinct()
     wanted = nodes.join(needed, "node").select("node", "at", F.col("text_hash"))
@@ -194,37 +220,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def labelled(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comp.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
 
-    best = stars.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = linked(best)
-    comp = materialise(components(links), "components")
-    rest = labelled(labelled(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb")
-    links = links.unionByName(linked(rest))
-    comp = materialise(components(links), "components")
-
-    apart = labelled(labelled(loose.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "n_bucket"), comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb")
-    apart = apart.groupBy("a", "b").agg(F.count("*").alias("bands"), F.lit(0).alias("least")).join(tested, ["a", "b"], "left_anti")
-    again = materialise(few(apart, 2 * LEADERS), "again")
-    tested = materialise(tested.union(again), "tested")
-    links = links.unionByName(linked(likely(again)))
+    links = linked(stars)
     comp = materialise(components(links), "components")
 
     known = labelled(loose, comp, "node", "comp")
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    unresolved = materialise(known.join(open_keys, "key"), "unresolved")
-    large = unresolved.select("node", "comp").distinct()
-    rare = large.join(sets, "node").mapInArrow(_members, "node long, comp long, size long, shingle long")
-    rare = materialise(rare, "members")
-    ranked = rare.join(rare.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "shingle", "left")
-    # A shingle of one text alone can't be shared but takes its place in the prefix.
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    # Of a pair, the smaller set (a) shares one of its first |a| - 2t/(1+t)|a| + 1 shingles with the first |b| - t|b| + 1 of
-    # the larger; at the first shared one, what follows in both must still make up the overlap that the threshold takes.
-    placed_in = ranked.filter("df > 1").select("shingle", "node", "comp", "size", "rank")
-    left = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 2 * num / (num + den)) + 1).toDF("shingle", "a", "ca", "sa", "ra")
-    right = placed_in.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).toDF("shingle", "b", "cb", "sb", "rb")
-    fits = f"(sa < sb OR sa = sb AND a < b) AND ca <> cb AND {den} * sa >= {num} * sb AND (1 + least(sa - ra, sb - rb)) * {num + den} >= {num} * (sa + sb)"
-    prefixed = left.join(right, F.expr(f"{fits}") & (left["shingle"] == right["shingle"])).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(linked(likely(prefixed.distinct().join(tested, ["a", "b"], "left_anti"))))
+    unresolved = known.join(open_keys, "key").select(F.col("leader").alias("ref"), "node", "comp").filter("node <> ref").distinct()
+    unresolved = labelled(unresolved, comp, "ref", "ref_comp").join(sets.toDF("node", "set_node"), "node").join(sets.toDF("ref", "set_ref"), "ref")
+    places = materialise(unresolved.mapInArrow(_differences(num, den), _DIFFERENCES), "differences")
+    direct = places.filter("rank = 1 AND cost <= free AND apart").select(F.col("ref").alias("a"), F.col("node").alias("b"))
+    light = places.filter("rank <= light").select("ref", "shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("n").alias("na"), F.col("cost").alias("ca"), F.col("rank").alias("ra"))
+    heavy = places.filter("rank <= heavy").select("ref", "shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("n").alias("nb"), F.col("cost").alias("cb"), F.col("rank").alias("rb"), "free")
+    fits = f"(ca < cb OR ca = cb AND a < b) AND la <> lb AND {den} * least(sa, sb) >= {num} * greatest(sa, sb) AND (1 + least(na - ra, nb - rb)) * {num + den} >= ca + cb - free"
+    same = (light["ref"] == heavy["ref"]) & (light["shingle"] == heavy["shingle"])
+    pairs = light.join(heavy, same & F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(direct).unionByName(linked(likely(pairs)))
     comp = components(links)
 
     least = labelled(nodes.select("node", "least"), comp, "node", "comp")
