@@ -143,7 +143,7 @@ def test_configurations_hold_every_piece():
     rng = np.random.default_rng(3)
     counts = dict(zip(*[x.tolist() for x in np.unique(rng.integers(1, 101, 3000), return_counts=True)], strict=True))
     packed = {}
-    configs = packing.configurations(counts, 100, 40)
+    configs = packing.configurations(counts, 100)
     for lengths, times in configs:
         assert sum(lengths) <= 100
         for k in lengths:
@@ -168,6 +168,34 @@ def test_configurations_come_near_a_perfect_packing():
     assert bound <= 200_000 + 1e-6 and sum(x for _, x in solved) <= (1 + packing.GAP) * bound
 
 
+def test_configurations_beat_best_fit_where_three_fit_tightly():
+    rng = np.random.default_rng(1)
+    counts = dict(zip(*[x.tolist() for x in np.unique(rng.integers(1300, 1500, 20000), return_counts=True)], strict=True))
+    solved, bound = packing.program(counts)
+    configs = packing.configurations(counts)
+    assert sum(len(lengths) * times for lengths, times in configs) == 20000
+    assert bound <= sum(t for _, t in configs) <= 1.001 * bound < sum(t for _, t in packing.best_fit(counts, 4096))
+    lengths = np.array(sorted(counts))
+    share, price, least = packing.weigh(lengths, np.array([counts[k] for k in lengths.tolist()], float), 4096, 16, lengths / 4096)
+    covered = np.zeros(len(lengths))
+    for chosen, x in share.items():
+        assert lengths[list(chosen)].sum() <= 4096
+        np.add.at(covered, list(chosen), x)
+    assert np.allclose(covered, [counts[k] for k in lengths.tolist()]) and least <= bound + 1e-6
+
+
+def test_knapsack_finds_the_best_of_all():
+    import itertools
+
+    lengths, prices = np.array([3, 4, 7, 9]), np.array([3.1, 4.0, 7.5, 9.1])
+    best, led, of, pieces = packing.knapsack(lengths, prices, 23)
+    every = [c for n in range(8) for c in itertools.combinations_with_replacement(range(4), n) if lengths[list(c)].sum() <= 23]
+    assert abs(best - max(prices[list(c)].sum() for c in every)) < 1e-9
+    for k in range(4):
+        assert abs(led[k] - max(prices[list(c)].sum() for c in every if k in c)) < 1e-9
+        assert abs(prices[pieces[of == k]].sum() - led[k]) < 1e-9 and lengths[pieces[of == k]].sum() <= 23
+
+
 def test_dual_bound_proves_what_tokens_do_not():
     solved, bound = packing.program({60: 1000, 50: 400, 45: 7}, 100)
     assert abs(bound - 1203.5) < 1e-6 and abs(sum(x for _, x in solved) - bound) < 0.02
