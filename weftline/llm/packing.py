@@ -30,8 +30,8 @@ END = 1
 GAP = 0.00001
 #: Steps of the first pass of multiplicative weights, doubled by each further one, and of the last.
 STEPS, FINEST = 4, 16
-#: Configurations that enter the basis after one knapsack, the pivots between fresh inverses, and rounds without progress that end it.
-ENTER, FRESH, PATIENCE = 200, 400, 20
+#: Configurations that enter the basis after one knapsack, and rounds without progress that end it.
+ENTER, PATIENCE = 200, 20
 PULL = 0.8
 #: Chunks of text whose ids a worker remembers, and as many of before.
 REMEMBER = 500_000
@@ -194,15 +194,18 @@ def weigh(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int, pr
             bound, held = least, mean / best
     rest = np.maximum(demand * (1 - cover), 0)
     kinds = np.flatnonzero(rest > 1e-9)
-    for chosen, times in _fractional(lengths[kinds], rest[kinds], capacity):
+    for _, chosen, times in _fractional(lengths[kinds], rest[kinds], capacity):
         chosen = tuple(kinds[chosen].tolist())
         share[chosen] = share.get(chosen, 0.0) + times
     return share, held, bound
 
 
-def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[list[int], float]]:
-    """Best fit in fractions of sequences: for each length the configuration that used it up, together a triangular basis, with its share."""
-    out, left, live = [([i], 0.0) for i in range(len(lengths))], demand.copy(), list(range(len(lengths)))
+def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, list[int], float]]:
+    """Best fit in fractions of sequences: each length, in the order in which they are used up, with the configuration that did it and its share.
+
+    Each configuration holds its length and others that are used up later, so together they are a triangular basis.
+    """
+    out, left, live = [], demand.copy(), list(range(len(lengths)))
     sizes = lengths.tolist()
     while live:
         room, uses, keys = capacity, {}, [sizes[i] for i in live]
@@ -214,11 +217,11 @@ def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[
                 room -= n * sizes[i]
             at = min(at - 1, bisect_right(keys, room) - 1)
         if not uses:
-            break
+            return out + [(i, [i], 0.0) for i in live]
         times, first = min((left[i] / n, i) for i, n in uses.items())
         for i, n in uses.items():
             left[i] = max(0.0, left[i] - n * times)
-        out[first] = [i for i, n in uses.items() for _ in range(n)], times
+        out.append((first, [i for i, n in uses.items() for _ in range(n)], times))
         live.remove(first)
     return out
 
@@ -240,7 +243,7 @@ def program(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP)
     # A little more of each length, so that no two are used up at once.
     wanted = demand * (1 + 1e-7 * np.random.default_rng(5).random(m))
     first = _fractional(lengths, wanted, capacity)
-    solved, value = {tuple(c): x for c, x in first}, sum(x for _, x in first)
+    solved, value = {tuple(c): x for _, c, x in first}, sum(x for _, _, x in first)
 
     def enough(value: float) -> bool:
         return value <= max((1 + gap) * bound, np.ceil(bound - 1e-6))  # no packing takes less than whole sequences
@@ -258,21 +261,23 @@ def program(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP)
             solved, value = share, better
         steps *= 2
 
-    def matrix() -> np.ndarray:
-        out = np.zeros((m, m))
-        for j, chosen in enumerate(basis):
-            np.add.at(out[:, j], list(chosen), 1)
-        return out
-
-    basis, inverse, pivots, idle = [c for c, _ in first], None, FRESH, 0
-    shares, prices = np.array([x for _, x in first]), held
+    # The inverse of a triangular basis, length by length; sums of rows only, as threads of a linear algebra library may wait for each other.
+    basis, inverse, shares = [[]] * m, np.eye(m), np.zeros(m)
+    for i, chosen, times in first:
+        kinds, uses = np.unique(chosen, return_counts=True)
+        inverse[i] /= uses[kinds == i][0]
+        for j, n in zip(kinds.tolist(), uses.tolist(), strict=True):
+            if j != i:
+                inverse[j] -= n * inverse[i]
+        basis[i], shares[i] = chosen, times
+    prices, idle = inverse.sum(axis=0), 0
 
     def enter(kinds: np.ndarray, uses: np.ndarray) -> bool:
-        nonlocal prices, pivots
+        nonlocal prices
         worth = float(prices[kinds] @ uses) - 1
         if worth <= 1e-9:
             return False
-        step = inverse[:, kinds] @ uses
+        step = (inverse[:, kinds] * uses).sum(axis=1)
         falls = np.flatnonzero(step > 1e-9)
         ratio = shares[falls] / step[falls]
         out = int(falls[ratio.argmin()])
@@ -283,17 +288,11 @@ def program(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP)
         inverse[out], shares[out] = row, times
         prices = prices - worth * row
         basis[out] = np.repeat(kinds, uses).tolist()
-        pivots += 1
         return True
 
     # Prices are drawn to those of the best bound, which keeps them from swinging; as far as no configuration enters, less so.
     waiting, pull = [np.unique(c, return_counts=True) for c in pool], PULL
-    while True:
-        if pivots >= FRESH:
-            inverse, pivots = np.linalg.inv(matrix()), 0
-            shares, prices = np.maximum(inverse @ wanted, 0), inverse.sum(axis=0)
-        if enough(min(value, shares.sum())) or idle >= PATIENCE:
-            break
+    while not enough(min(value, shares.sum())) and idle < PATIENCE:
         open_before, entered = shares.sum() - bound, 0
         if waiting:
             gains = np.array([prices[k] @ n for k, n in waiting])
@@ -414,7 +413,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # Ranks within a length: by shard and then within it, so that no length is one task's work.
     pieces = materialise(pieces.withColumn("shard", F.spark_partition_id()), "pieces")
     by_shard = pieces.groupBy("length", "shard").agg(F.count("*").alias("n"))
