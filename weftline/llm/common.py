@@ -32,9 +32,14 @@ _BYTE_LOWER = _BYTE[LOWER]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in one process, as in tests, a temporary one.
+
+    Raises on a cluster that names none, as a folder of one machine is no other's.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
         shared_dir.own = root
     return root.rstrip("/")
@@ -156,6 +161,11 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, found without regard to case; whatever else df has can't clash with working columns."""
-    return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
+def beside(df: DataFrame, *taken: str) -> list:
+    """The fields of df but those named like a working or result column, in any case: the result takes such a column's place."""
+    return [f for f in df.schema if f.name.lower() not in taken]
+
+
+def listed(fields: list) -> str:
+    """Fields as a schema's text, each followed by a comma."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)

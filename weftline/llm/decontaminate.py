@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NOT_WORD, shingles, small_batches, text_batches, words
+from weftline.llm.common import NOT_WORD, beside, listed, shingles, small_batches, text_batches, words
 
 RADIUS = 20
 BLOCKS = 8
@@ -134,15 +134,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: t
     ASCII white space and punctuation; items of fewer words than k are one shingle of their words.
 
     Null and empty texts and items match nothing. Items without id are left out, repeated items give repeated rows,
-    empty tables give no rows. The benchmark is read in blocks of ``items`` rows, each broadcast, so its size is
+    empty tables give no rows. Of docs' columns those named like one of the result's go. The benchmark is read in blocks of ``items`` rows, each broadcast, so its size is
     bounded; documents are never shuffled.
     """
     small_batches(docs.sparkSession)
     num, den = threshold
     spark = docs.sparkSession
-    rest = [f for f in docs.schema if f.name != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    schema = f"{fields}, item_id long, start_word long, n_words long, similarity double"
+    rest = beside(docs, "text", "item_id", "start_word", "n_words", "similarity")
+    docs = docs.select(*[f.name for f in rest], "text")
+    schema = f"{listed(rest)}item_id long, start_word long, n_words long, similarity double"
     named = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-named.count() // items))
     placed = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

@@ -6,17 +6,16 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, small_batches, text_batches
+from weftline.llm.common import beside, listed, materialise, small_batches, text_batches
 
 #: Labelled rows that a model is learned from at most, as expected over a hash sample; ids decide, so any order of rows gives the same.
 TRAIN_ROWS = 8_000
-#: Words and n-grams of each order that a language's table keeps at most, the most frequent first.
-TABLE = 10_000
 #: Sizes of n-grams, tried longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose vectors a worker remembers.
@@ -27,27 +26,28 @@ _WORD = regex.compile(r"\p{L}+")
 
 @dataclass
 class Model:
-    """Log frequencies: tables[0] by known word, tables[n] by n-gram; each value has a number for each language."""
+    """Log frequencies: tables[0] has known words' rows of values, tables[n] those of n-grams; a row has a number for each language."""
 
     languages: list[str]
-    tables: dict[int, dict[str, tuple[float, ...]]]
+    tables: dict[int, dict[str, int]]
+    values: np.ndarray
     memory: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"languages": self.languages, "tables": self.tables, "memory": {}}
+        return {"languages": self.languages, "tables": self.tables, "values": self.values, "memory": {}}
 
     def word(self, word: str) -> tuple[float, ...]:
         """The word's log frequency by language; of an unknown word, the mean over its n-grams, each at the longest known size."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return tuple(self.values[known].tolist())
         marked, total, n = f"^{word}$", [0.0] * len(self.languages), 0
         at = 0
         while at < len(marked):
             step = 1
             for size in ORDERS:
                 if at + size <= len(marked) and (found := self.tables[size].get(marked[at : at + size])) is not None:
-                    for j, x in enumerate(found):
+                    for j, x in enumerate(self.values[found].tolist()):
                         total[j] += x
                     n += 1
                     step = max(1, size - 1)
@@ -97,9 +97,9 @@ def _grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "size", "gram", "n"])
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, table: int = TABLE) -> Model:
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from (id, text, lang). Only a hash sample of about ``rows`` labelled rows is counted, over any number of machines;
-    the driver gets the most frequent ``table`` grams of each size and language, so its share doesn't grow with the input.
+    the driver gets every word and n-gram of those, each once a language.
 
     Frequencies are smoothed by one half, and a word must occur in two texts' worth of counts to be known. Null texts are left out.
     """
@@ -112,16 +112,19 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, table: int = TABLE) -> Mo
     counted = materialise(counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {(r["lang"], r["size"]): (r["t"], r["v"]) for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
     languages = sorted({lang for lang, _ in totals})
-    tables: dict[int, dict[str, tuple[float, ...]]] = {}
-    for size in (0, *ORDERS):
-        kept: dict[str, dict[str, int]] = {}
-        for lang in languages:
-            top = counted.filter((F.col("size") == size) & (F.col("lang") == lang) & (F.col("n") > (1 if size == 0 else 0))).orderBy(F.desc("n"), "gram").limit(table).select("gram", "n")
-            for gram, count in top.toArrow().to_pandas().itertuples(index=False):
-                kept.setdefault(gram, {})[lang] = count
-        floors = {lang: math.log(totals.get((lang, size), (0, 0))[0] + 0.5 * (totals.get((lang, size), (0, 0))[1] + 1)) for lang in languages}
-        tables[size] = {g: tuple(math.log(c.get(lang, 0) + 0.5) - floors[lang] for lang in languages) for g, c in kept.items()}
-    return Model(languages, tables)
+    if not languages:
+        return Model([], {}, np.zeros((0, 0)))
+    known = counted.filter("size > 0 OR n > 1").groupBy("size", "gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{j}") for j, lang in enumerate(languages)])
+    known = known.orderBy("size", "gram").toArrow()
+    tables: dict[int, dict[str, int]] = {size: {} for size in (0, *ORDERS)}
+    for row, (size, gram) in enumerate(zip(known["size"].to_pylist(), known["gram"].to_pylist(), strict=True)):
+        tables[size][gram] = row
+    sizes = known["size"].to_numpy()
+    values = np.log(np.stack([known[f"n{j}"].to_numpy() for j in range(len(languages))], axis=1) + 0.5)
+    for j, lang in enumerate(languages):
+        floor = {size: math.log(t + 0.5 * (v + 1)) for size in tables for t, v in [totals.get((lang, size), (0, 0))]}
+        values[:, j] -= np.array([floor[size] for size in range(max(tables) + 1)])[sizes]
+    return Model(languages, tables, values)
 
 
 def _predict(shared):
@@ -137,15 +140,15 @@ def _predict(shared):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add lang_pred and score (0 to 1) and drop the text; other columns stay.
+    """Add lang_pred and score (0 to 1) and drop the text; other columns stay, but those named text or like a result.
 
     The whole text is read. Null texts and texts without a letter are ``und`` with score 0. Of equal languages the first
     in order wins. An empty table gives no rows, a model without languages ``und``.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return docs.select(*rest, F.col(text_col).alias("text")).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double")
+    rest = beside(docs, text_col.lower(), "text", "lang_pred", "score")
+    kept = docs.select(*[f.name for f in rest], F.col(text_col).alias("text"))
+    return kept.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{listed(rest)}lang_pred string, score double")
 
 
 def trained_on(docs: DataFrame) -> Model:

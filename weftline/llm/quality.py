@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, small_batches, text_batches, utf8, words
+from weftline.llm.common import beside, listed, materialise, small_batches, text_batches, utf8, words
 from weftline.llm.language import held_out
 
 FEATURES = 256
@@ -179,31 +179,29 @@ def train(stats: DataFrame, ridge: float = RIDGE, bins: int = BINS) -> Model:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The other columns of docs, with the text's statistics as packed doubles."""
+    """The other columns of docs, with the text's statistics as packed doubles; a column of that name (stats) goes. No rows give none."""
     small_batches(docs.sparkSession)
-    rest = [f for f in docs.schema if f.name != "text"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    rest = beside(docs, "text", "stats")
 
     def run(batches):
         for batch in text_batches(batches):
             rows = statistics(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array([r.tobytes() for r in rows], pa.binary())], names=[*[f.name for f in rest], "stats"])
 
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(run, f"{fields}stats binary")
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(run, f"{listed(rest)}stats binary")
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """Add score (0 to 1, higher: label 1 likelier) to rows with stats; the statistics go, other columns stay."""
+    """Add score (0 to 1, higher: label 1 likelier) to rows with stats; the statistics go, other columns stay but one of the result's name."""
     shared = stats.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in stats.schema if f.name != "stats"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    rest = beside(stats, "stats", "score")
 
     def run(batches):
         for batch in batches:
             s = np.frombuffer(b"".join(batch.column("stats").to_pylist()), float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array(shared.value.score(s))], names=[*[f.name for f in rest], "score"])
 
-    return stats.mapInArrow(run, f"{fields}score double")
+    return stats.select(*[f.name for f in rest], "stats").mapInArrow(run, f"{listed(rest)}score double")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
