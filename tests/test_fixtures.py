@@ -3,11 +3,13 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions import geometry, names
-from weftline.operators import events, kernels
+from weftline.functions import geometry, names, timing, vectors
+from weftline.operators import dynamics, events, kernels, retrieval
 from weftline.operators import timeseries as ts
+from weftline.plans import catalogue
 from weftline.sources import tables
 
 NAN = float("nan")
@@ -125,3 +127,93 @@ def test_names(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="missing columns: a, b"):
         tables.require(spark.range(1), ["id", "a", "b"])
+
+
+def _issues(spark, times):
+    return ts.issues(_series(spark, times), ["u"], ["i"], "t").first()
+
+
+def test_missing_times_are_counted_at_their_place(spark):
+    found = _issues(spark, [0.0, 0.04, NAN, 0.12, 0.16])
+    assert (found.n_frames, found.codes, found.strictly_monotonic, found.timeline_label, found.reasons) == (5, ["missing_pts"], False, "needs_review", ["timeline:missing_pts"])
+    audit = ts.audit(_series(spark, [0.0, NAN, 0.08]), ["u"], ["i"], "t").first()
+    assert (audit.n_missing, audit.strictly_monotonic, audit.step_max) == (1, False, None)
+
+
+@pytest.mark.parametrize(
+    ("times", "codes", "gaps"),
+    [
+        ([0.0, 0.08, 0.04, 0.12], ["non_monotonic_pts"], None),
+        ([0.0, 0.04, 0.04, 0.08], ["duplicate_pts"], []),
+        ([0.0, 0.04, 0.08, 0.12], [], []),
+        ([0.0, 0.04, 0.08, 0.12, 0.24], ["tail_frame_gap"], [(3, 0.12)]),
+        ([0.0, 0.04, 0.30, 0.34, 0.50], ["large_frame_gap", "tail_frame_gap"], None),
+        ([0.0, 0.04, 0.08, 0.60, 0.64], ["large_frame_gap"], [(2, 0.52)]),
+    ],
+)
+def test_issues_and_places_of_gaps(spark, times, codes, gaps):
+    found = _issues(spark, times)
+    if gaps is not None:
+        assert [(g.after_frame, round(g.gap_sec, 9)) for g in found.large_gaps] == gaps
+    assert found.timeline_label == ("needs_review" if codes else "usable")
+    assert found.codes == codes
+
+
+def test_rotation_of_degenerate_columns(spark):
+    six = [(0.0,) * 6, (0.0, 0.0, 2.0, 0.0, 0.0, 5.0), (3.0, 0.0, 0.0, 1.0, 0.0, 0.0), (NAN, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(six)], "i int, " + ", ".join(f"x{k} double" for k in range(6)))
+    got = [list(r)[1:] for r in rows.select("i", *vectors.rotation_columns([F.col(f"x{k}") for k in range(6)])).orderBy("i").collect()]
+    identity = [1, 0, 0, 0, 1, 0, 0, 0, 1]
+    assert got[0] == identity and got[3] == identity
+    assert got[1] == [0, 1, 0, 0, 0, 1, 1, 0, 0]  # x aside, and their cross product
+    assert got[2] == [1, 0, 0, 0, 1, 0, 0, 0, 1]  # y aside
+
+
+def test_hash_of_large_keys_does_not_overflow(spark):
+    keys = spark.createDataFrame([(6_000_000_000,), (-(2**63),), (7,)], "k long")
+    got = [r[0] for r in keys.select(tables.spread_key(F.col("k"), 100)).collect()]
+    assert got == [k * 2654435761 % 100 for k in (6_000_000_000, -(2**63), 7)]
+
+
+def test_leaking_speakers(spark):
+    rows = spark.createDataFrame([(1, "train"), (1, "train"), (2, "train"), (2, "test")], "s long, split string")
+    assert [tuple(r) for r in catalogue.leaking(rows, "s", "split").collect()] == [(2, 2)]
+
+
+def test_falling_times_are_refused(spark):
+    with pytest.raises(Exception, match="rise strictly"):
+        ts.gradient(_series(spark, [0.0, 2.0, 1.0], [1.0, 2.0, 3.0]), ["u"], ["i"], "t", "v", "d").collect()
+
+
+def test_derivatives_of_a_cube_and_their_errors(spark):
+    t = [0.1 * i for i in range(12)]
+    rows = _series(spark, t, [x**3 for x in t])
+    found = dynamics.summary(rows, ["u"], ["i"], "t", "v").first()
+    assert found.is_uniform and found.n_frames == 12 and found.jerk_n_missing == 0
+    assert abs(found.jerk_interior_max - 6) < 1e-6 and abs(found.acceleration_interior_max - 6 * t[-3]) < 1e-6
+    same = dynamics.errors(rows, ["u"], ["i"], "t", "v", "v").collect()
+    assert sorted((r.derivative, r.mae, r.max_abs) for r in same) == [(n, 0.0, 0.0) for n in sorted(dynamics.ORDERS)]
+    assert dynamics.summary(_series(spark, [0.0], [1.0]), ["u"], ["i"], "t", "v").first().velocity_mean is None
+
+
+def test_frames_of_seconds_at_noisy_rates(spark):
+    rates = spark.createDataFrame([(25.0,), (24.999999999999979,), (27.0,), (1.0,)], "r double")
+    assert [r[0] for r in rates.select(timing.frames_for_seconds(0.5, F.col("r"))).collect()] == [13, 13, 14, 2]
+    assert [r[0] is None for r in rates.select(timing.antialias_warning(F.col("r") * 2, 30.0)).collect()] == [False, False, False, True]
+
+
+def test_costs_relax_where_no_exemplar_fits(spark):
+    schema = "exemplar_id long, type string, duration double, cdev array<double>, onset double, offset double, rest double"
+    bank = spark.createDataFrame([(1, "a", 1.0, [0.0, 1.0], 0.1, 0.2, 0.0), (2, "a", 1.2, [0.5, 1.0], 0.1, 0.1, 0.3), (3, "a", 9.0, [0.0, 2.0], 0.3, 0.2, 0.1)], schema)
+    got = {(r.query_id, r.exemplar_id): r for r in retrieval.costs(bank.withColumnRenamed("exemplar_id", "query_id"), bank, 30.0).collect()}
+    assert set(got) == {(1, 2), (2, 1), (3, 1), (3, 2)}
+    assert got[3, 1].relaxed and not got[1, 2].relaxed and got[1, 2].cost == got[2, 1].cost > 0
+
+
+def test_gaze_without_usable_frames_stays(spark):
+    rows = spark.createDataFrame([(0, 0.3, 0.1, 0.0), (0, 0.5, NAN, 1.0), (1, 0.2, 0.4, 1.0), (1, 0.4, 0.0, 1.0)], "u int, p double, y double, c double")
+    pitch, yaw = geometry.centred_gaze(F.col("p"), F.col("y"), F.col("c"), Window.partitionBy("u"))
+    got = sorted((r[0], round(r[1], 9)) for r in rows.select("u", pitch).collect())
+    assert got == [(0, 0.3), (0, 0.5), (1, -0.1), (1, 0.1)]
+    with pytest.raises(ValueError):
+        geometry.centred_gaze(F.col("p"), F.col("y"), F.col("c"), Window.partitionBy("u"), squash=True, unit="ratio")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +96,24 @@ def canonical(points: Column, left: int, right: int) -> Column:
     bad = F.exists(points, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | (apart < 1e-6)
     moved = F.transform(points, lambda v, i: (v - F.element_at(middle, (i % 3 + 1).cast("int"))) / apart)
     return F.when(F.coalesce(bad, F.lit(True)), F.transform(points, lambda v: F.lit(float("nan")))).otherwise(moved)
+
+
+#: Radians at which pitch and yaw of a gaze saturate.
+PITCH_LIMIT, YAW_LIMIT = math.radians(35), math.radians(50)
+
+
+def centred_gaze(pitch: Column, yaw: Column, confidence: Column, over, squash: bool = False, unit: str = "radians") -> tuple[Column, Column]:
+    """Pitch and yaw less their means over a window of frames that are finite and of confidence above 0; as they are without one.
+
+    squash bounds them by tanh at the limits of an eye, which takes radians: it raises for another unit.
+    """
+    if squash and unit != "radians":
+        raise ValueError("squashing takes radians")
+    known = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    usable = (confidence > 0) & known(pitch) & known(yaw)
+    out = []
+    for x, limit in ((pitch, PITCH_LIMIT), (yaw, YAW_LIMIT)):
+        mean = F.avg(F.when(usable, x)).over(over)
+        moved = limit * F.tanh((x - mean) / limit) if squash else x - mean
+        out.append(F.when(mean.isNull(), x).otherwise(moved))
+    return out[0], out[1]

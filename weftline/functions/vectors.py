@@ -45,20 +45,19 @@ def rotation_columns(x: list[Column]) -> list[Column]:
     """The 9 elements (by rows) of the rotation of six values, two columns: Gram-Schmidt and a cross product.
 
     The identity where the first column is under 1e-8 long or a value isn't finite. Where the second is parallel to the
-    first, the axis least along the first takes its place.
+    first, x takes its place, or y if the first is within 0.9 of x.
     """
     n = F.sqrt(sum(c * c for c in x[:3]))
-    a = [c / n for c in x[:3]]
+    a = [c / F.nullif(n, F.lit(0.0)) for c in x[:3]]
     dot = sum(p * q for p, q in zip(a, x[3:], strict=True))
     rest = [q - dot * p for p, q in zip(a, x[3:], strict=True)]
     m = F.sqrt(sum(c * c for c in rest))
-    least = [F.abs(c) for c in a]
-    axis = [(least[0] <= least[1]) & (least[0] <= least[2]), (least[1] < least[0]) & (least[1] <= least[2]), (least[2] < least[0]) & (least[2] < least[1])]
-    unit = [F.when(c, 1.0).otherwise(0.0) for c in axis]
+    aside = F.abs(a[0]) < 0.9
+    unit = [F.when(aside, 1.0).otherwise(0.0), F.when(aside, 0.0).otherwise(1.0), F.lit(0.0)]
     along = sum(p * u for p, u in zip(a, unit, strict=True))
     other = [u - along * p for p, u in zip(a, unit, strict=True)]
     k = F.sqrt(sum(c * c for c in other))
-    b = [F.when(m < 1e-8, o / k).otherwise(r / m) for o, r in zip(other, rest, strict=True)]
+    b = [F.when(m < 1e-8, o / F.nullif(k, F.lit(0.0))).otherwise(r / F.nullif(m, F.lit(0.0))) for o, r in zip(other, rest, strict=True)]
     c = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
     bad = F.coalesce((n < 1e-8) | F.isnan(n) | F.isnan(m) | (n == float("inf")), F.lit(True))
     identity = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)

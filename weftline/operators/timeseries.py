@@ -17,8 +17,9 @@ def _over(keys, order):
 def audit(df: DataFrame, keys: list[str], order: list[str], t: str, gap_factor: float = 1.5) -> DataFrame:
     """Per unit: frames, missing times, backward and equal steps, steps over gap_factor medians, and step statistics.
 
-    A step counts between neighbours that both have a time; nothing is repaired or dropped.
+    A step counts between neighbours that both have a time; nothing is repaired or dropped. A time that isn't finite is missing.
     """
+    df = df.withColumn(t, finite(F.col(t)))
     stepped = df.withColumn("_d", F.col(t) - F.lag(t).over(_over(keys, order)))
     stepped = stepped.withColumn("_m", F.median("_d").over(Window.partitionBy(*keys)))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -36,6 +37,37 @@ def audit(df: DataFrame, keys: list[str], order: list[str], t: str, gap_factor:
     )
 
 
+def finite(x: Column) -> Column:
+    """The value, or null where it is NaN or infinite."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
+def issues(df: DataFrame, keys: list[str], order: list[str], t: str, gap_factor: float = 1.5) -> DataFrame:
+    """Per unit: what is wrong with its times, by code, where its large gaps are, and the verdict that follows.
+
+    Columns: keys, n_frames, codes (array), large_gaps (array of frame before the gap and length), strictly_monotonic,
+    timeline_label (usable or needs_review) and reasons (``timeline:`` and a code, or that times don't rise strictly).
+    A gap is longer than gap_factor median rising steps; the one before the last frame is told apart from those inside.
+    """
+    w = _over(keys, order)
+    rows = df.withColumn(t, finite(F.col(t))).withColumns({"_i": (F.row_number().over(w) - 1).cast("long"), "_d": F.col(t) - F.lag(t).over(w)})
+    rows = rows.withColumn("_m", F.median(F.when(F.col("_d") > 0, F.col("_d"))).over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    gap, tail = F.col("_d") > gap_factor * F.col("_m"), F.col("_i") == F.col("_n") - 1
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_frames"),
+        any_of(F.col(t).isNull()).alias("_a"), any_of(F.col("_d") < 0).alias("_b"), any_of(F.col("_d") == 0).alias("_c"), any_of(gap & ~tail).alias("_e"), any_of(gap & tail).alias("_f"),
+        F.sort_array(F.collect_list(F.when(gap, F.struct((F.col("_i") - 1).alias("after_frame"), F.col("_d").alias("gap_sec"))))).alias("large_gaps"),
+        (F.count_if(F.col("_d") > 0) == F.count("*") - 1).alias("strictly_monotonic"),
+    )
+    codes = {"_a": "missing_pts", "_b": "non_monotonic_pts", "_c": "duplicate_pts", "_e": "large_frame_gap", "_f": "tail_frame_gap"}
+    found = found.withColumn("codes", F.array_compact(F.array(*[F.when(F.col(c), code) for c, code in codes.items()])))
+    reasons = F.when((F.size("codes") == 0) & ~F.col("strictly_monotonic"), F.array(F.lit("timeline:not_strictly_monotonic"))).otherwise(F.transform("codes", lambda c: F.concat(F.lit("timeline:"), c)))
+    label = F.when(F.col("strictly_monotonic") & (F.size("codes") == 0), "usable").otherwise("needs_review")
+    return found.select(*keys, "n_frames", "codes", "large_gaps", "strictly_monotonic", label.alias("timeline_label"), reasons.alias("reasons"))
+
+
 def increasing_clock(df: DataFrame, keys: list[str], order: list[str], t: str, out: str = "clock_ms") -> DataFrame:
     """Strictly increasing milliseconds: each at least one after the last. The running form i + max(ms - i) needs no loop."""
     w = _over(keys, order)
@@ -133,9 +165,13 @@ def stitch(windows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def gradient(df: DataFrame, keys: list[str], order: list[str], t: str, value: str, out: str) -> DataFrame:
-    """First derivative over uneven times, of second order inside and one-sided at the ends; null for a lone sample."""
+    """First derivative over uneven times, of second order inside and one-sided at the ends; null for a lone sample.
+
+    Raises where times don't rise strictly.
+    """
     w = _over(keys, order)
-    hs, hd = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
+    rising = lambda h: F.when(h <= 0, F.raise_error(F.lit("times must rise strictly")).cast("double")).otherwise(h)
+    hs, hd = rising(F.col(t) - F.lag(t).over(w)), rising(F.lead(t).over(w) - F.col(t))
     df = df.withColumns({"_hs": hs, "_hd": hd, "_p": F.lag(value).over(w), "_q": F.lead(value).over(w)})
     s, d, v = F.col("_hs"), F.col("_hd"), F.col(value)
     inner = (s * s * F.col("_q") + (d * d - s * s) * v - d * d * F.col("_p")) / (s * d * (s + d))

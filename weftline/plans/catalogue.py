@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import levels, vectors
 from weftline.operators import kernels
 from weftline.operators import timeseries as ts
+from weftline.sources import tables
 
 FLAGSHIP = "resampled_window_profile"
 HOUR = 3600.0
@@ -284,7 +285,7 @@ _SPLIT = "CASE WHEN (o_custkey * 2654435761) % 100 < 70 THEN 'train' WHEN (o_cus
 
 def split_of(key: Column) -> Column:
     """Split of a speaker by a portable hash: 70 % train, 15 % val, 15 % test; all clips of a speaker fall together."""
-    h = F.pmod(key * F.lit(2654435761), F.lit(100))
+    h = tables.spread_key(key, 100)
     return F.when(h < 70, "train").when(h < 85, "val").otherwise("test")
 
 
@@ -293,10 +294,20 @@ def split_counts(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy(split_of(F.col("o_custkey")).alias("split")).agg(F.count("*").alias("n_clips"), F.countDistinct("o_custkey").alias("n_speakers"))
 
 
-@query(f"SELECT count(*) AS n_leaking FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1)")
+def leaking(assigned: DataFrame, speaker: str, split: str) -> DataFrame:
+    """Speakers whose clips an assignment puts in more than one split, with the number of splits."""
+    return assigned.groupBy(speaker).agg(F.countDistinct(split).alias("n_splits")).filter("n_splits > 1")
+
+
+@query(f"""WITH a AS (SELECT o_custkey, {_SPLIT} AS by_speaker, {_SPLIT.replace("o_custkey", "o_orderkey")} AS by_clip FROM orders)
+SELECT 'speaker_disjoint' AS kind, count(*) AS n_leaking, coalesce(sum(n), 0)::BIGINT AS n_splits FROM (SELECT count(DISTINCT by_speaker) AS n FROM a GROUP BY o_custkey HAVING n > 1)
+UNION ALL SELECT 'clip_disjoint', count(*), coalesce(sum(n), 0)::BIGINT FROM (SELECT count(DISTINCT by_clip) AS n FROM a GROUP BY o_custkey HAVING n > 1)""")
 def leakage_check(spark, sf_dir):
-    per = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.countDistinct(split_of(F.col("o_custkey"))).alias("n"))
-    return per.filter("n > 1").agg(F.count("*").alias("n_leaking"))
+    """Speakers that leak where clips are assigned by speaker, and where by clip, as without known speakers."""
+    orders = _table(spark, sf_dir, "orders")
+    assigned = orders.select("o_custkey", split_of(F.col("o_custkey")).alias("by_speaker"), split_of(F.col("o_orderkey")).alias("by_clip"))
+    found = [leaking(assigned, "o_custkey", c).agg(F.lit(kind).alias("kind"), F.count("*").alias("n_leaking"), F.coalesce(F.sum("n_splits"), F.lit(0)).alias("n_splits")) for c, kind in (("by_speaker", "speaker_disjoint"), ("by_clip", "clip_disjoint"))]
+    return found[0].unionByName(found[1])
 
 
 @query("""WITH d AS (SELECT unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x, label FROM embeddings) SELECT dim, round(avg(x), 6) AS mean, round(greatest(stddev_pop(x), 1e-8), 6) AS std FROM d WHERE label < 7 GROUP BY dim""")
@@ -336,12 +347,15 @@ def retrieve_topk(spark, sf_dir):
 
 @query("""SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 250000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 2654435761) % 1000003, o_orderkey) = 1""")
 def sample_one_per_speaker(spark, sf_dir):
-    w = ts.Window.partitionBy("o_custkey").orderBy(F.pmod(F.col("o_orderkey") * F.lit(2654435761), F.lit(1000003)), "o_orderkey")
+    w = ts.Window.partitionBy("o_custkey").orderBy(tables.spread_key(F.col("o_orderkey"), 1_000_003), "o_orderkey")
     rows = _table(spark, sf_dir, "orders").filter("o_totalprice BETWEEN 50000 AND 250000").withColumn("r", F.row_number().over(w))
     return rows.filter("r = 1").select("o_custkey", "o_orderkey")
 
 
 @query("""SELECT p_brand, count(*) AS n_parts, count(l_partkey) AS n_lines, count(*) FILTER (l_partkey IS NULL) AS n_missing, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
 def metadata_left_join(spark, sf_dir):
-    both = _table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(_table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    return both.groupBy("p_brand").agg(F.count("*").alias("n_parts"), F.count("l_partkey").alias("n_lines"), F.count_if(F.col("l_partkey").isNull()).alias("n_missing"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("quantity"))
+    # Lines are summed by part before the join, so no part's lines meet in one task.
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    both = _table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(lines, F.col("l_partkey") == F.col("p_partkey"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return both.groupBy("p_brand").agg(F.sum(F.greatest(n, F.lit(1))).alias("n_parts"), F.sum(n).alias("n_lines"), F.count_if(F.col("l_partkey").isNull()).alias("n_missing"), F.round(F.coalesce(F.sum("q"), F.lit(0.0)), 2).alias("quantity"))

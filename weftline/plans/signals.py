@@ -183,19 +183,18 @@ def canonical_landmarks(spark, sf_dir):
 _PARTS = r"""p AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '\.[^./]*$', ''), '/'), lambda x: x NOT IN ('', '.', '..')) AS p FROM pages)"""
 
 
-@query(f"WITH {_PARTS} SELECT page_id, array_to_string(p, '__') AS clip_id, CASE WHEN len(p) >= 2 THEN p[1] END AS top_dir, CASE WHEN len(p) >= 2 THEN p[-2] END AS parent_dir FROM p WHERE len(p) > 1")
+@query(f"WITH {_PARTS} SELECT page_id, array_to_string(p, '__') AS clip_id, CASE WHEN len(p) >= 2 THEN p[1] END AS top_dir, CASE WHEN len(p) >= 2 THEN p[-2] END AS parent_dir FROM p")
 def clip_names(spark, sf_dir):
     path = F.regexp_replace("url", "^[a-z]+://", "")
-    rows = _table(spark, sf_dir, "pages").filter(F.size(names.parts(path)) > 1)
-    return rows.select("page_id", names.clip_id(path).alias("clip_id"), names.speaker(path, "top_dir").alias("top_dir"), names.speaker(path, "parent_dir").alias("parent_dir"))
+    return _table(spark, sf_dir, "pages").select("page_id", names.clip_id(path).alias("clip_id"), names.speaker(path, "top_dir").alias("top_dir"), names.speaker(path, "parent_dir").alias("parent_dir"))
 
 
-@query("""SELECT p_partkey, CASE WHEN t = '' THEN 'run' ELSE t END AS tag, (CASE WHEN t = '' THEN 'run' ELSE t END) || '__20200101T000000Z__nogit' AS run_id FROM (SELECT p_partkey, regexp_replace(left(regexp_replace(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), 48), '^[-._]+|[-._]+$', '', 'g') AS t FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN t = '' THEN 'run' ELSE t END AS tag, (CASE WHEN t = '' THEN 'run' ELSE t END) || '__20200101T000000Z__nogit' AS run_id, CASE WHEN t = '' THEN 'run' ELSE t END AS parsed FROM (SELECT p_partkey, regexp_replace(left(regexp_replace(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), 48), '^[-._]+|[-._]+$', '', 'g') AS t FROM part)""")
 def run_names(spark, sf_dir):
     name = F.concat_ws(" / ", "p_name", "p_type")
     made = names.run_id(name, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"), F.lit("nogit"))
     rows = _table(spark, sf_dir, "part").select("p_partkey", names.tag(name).alias("tag"), made.alias("run_id"))
-    return rows.filter(names.parse_run_id(F.col("run_id")).tag == F.col("tag"))
+    return rows.withColumn("parsed", names.parse_run_id(F.col("run_id")).tag)
 
 
 @query("""SELECT ((o_orderkey * 2654435761) % 1000003) % 4 AS shard, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""")

@@ -45,9 +45,14 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], reason: str) -> tu
     return left.join(right, on), left.join(right.select(*on), on, "left_anti").select(*on, F.lit(reason).alias("reason"))
 
 
+def spread_key(key: Column, n: int) -> Column:
+    """(key * 2654435761) modulo n by a portable hash, of any long without overflow."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit(n)) * F.lit(2654435761 % n), F.lit(n))
+
+
 def shard(key: Column, shards: int) -> Column:
     """A shard from 0 by a portable hash of an integer key, needing no order over the whole table."""
-    return F.pmod(key * F.lit(2654435761), F.lit(1_000_003)) % shards
+    return spread_key(key, 1_000_003) % shards
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
