@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions import geometry, names, timing, vectors
-from weftline.operators import dynamics, events, kernels, retrieval
+from weftline.functions import geometry, levels, names, timing, vectors
+from weftline.operators import dynamics, events, kernels, retrieval, text
 from weftline.operators import timeseries as ts
 from weftline.plans import catalogue
 from weftline.sources import tables
@@ -217,3 +217,18 @@ def test_gaze_without_usable_frames_stays(spark):
     assert got == [(0, 0.3), (0, 0.5), (1, -0.1), (1, 0.1)]
     with pytest.raises(ValueError):
         geometry.centred_gaze(F.col("p"), F.col("y"), F.col("c"), Window.partitionBy("u"), squash=True, unit="ratio")
+
+
+def test_text_documents_are_checked(spark):
+    rows = spark.createDataFrame([(0, i, v, c) for i, (v, c) in enumerate([(0.0, True), (-0.05, True), (0.5, True), (0.9, False), (0.4, True)])] + [(1, 0, 0.3, False)], "u int, i long, v double, c boolean")
+    quantizer = levels.QUANTIZERS["translation"]
+    docs = text.encode(rows, ["u"], "i", "v", F.col("c"), quantizer, 25.0)
+    back = sorted(tuple(r) for r in text.decode(docs, ["u"], quantizer).collect())
+    assert back == [(0, 0, 0, -0.025), (0, 1, 0, -0.025), (0, 2, 2, 0.5), (0, 4, 2, 0.4)]
+    good = docs.filter("u = 0").first().doc
+    for old, new in [('"version":1', '"version":2'), ('"t0":0.08', '"t0":0.05'), ('"t0":0.08', '"t0":0.04'), ("+moderate", "+huge"), ('"t1":0.2', '"t1":0.4'), ("{", "[")]:
+        assert old in good
+        with pytest.raises(Exception):
+            text.decode(spark.createDataFrame([(0, good.replace(old, new, 1))], "u int, doc string"), ["u"], quantizer).collect()
+    edited = good.replace("+moderate", "+strong", 1)
+    assert [r.value for r in text.decode(spark.createDataFrame([(0, edited)], "u int, doc string"), ["u"], quantizer).collect() if r.level == 3] == [1.2]

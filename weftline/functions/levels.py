@@ -34,11 +34,17 @@ class Quantizer:
         """The value that stands for a level."""
         return F.signum(level.cast("double")) * F.element_at(F.array(*map(F.lit, self.values)), F.abs(level) + 1)
 
+    def bounds(self, level: Column) -> tuple[Column, Column]:
+        """The least and the highest value of a level, both of it; that of no magnitude reaches to both sides if the sign counts."""
+        edges = F.array(F.lit(0.0), *map(F.lit, self.edges), F.lit(float("inf")))
+        inner, outer = F.element_at(edges, F.abs(level) + 1), F.element_at(edges, F.abs(level) + 2)
+        lo = F.when(level > 0, inner).when(level < 0, -outer).otherwise(-outer if self.signed else F.lit(0.0))
+        return lo, F.when(level < 0, -inner).otherwise(outer)
+
     def clip(self, level: Column, hint: Column) -> Column:
         """A hint cut to its level's bin."""
-        edges = F.array(F.lit(0.0), *map(F.lit, self.edges), F.lit(float("inf")))
-        at = F.abs(level)
-        return F.when(level < 0, -1.0).otherwise(1.0) * F.greatest(F.element_at(edges, at + 1), F.least(F.element_at(edges, at + 2), F.abs(hint)))
+        lo, hi = self.bounds(level)
+        return F.greatest(lo, F.least(hi, hint))
 
 
 # The engine's quantizers.

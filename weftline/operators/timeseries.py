@@ -205,14 +205,14 @@ def fill_low(df: DataFrame, keys: list[str], idx: str, value: str, quality: str,
     return df.withColumn("filled", filled).withColumn("was_low", F.col(quality) <= threshold).drop("_l", "_r")
 
 
-def runs(df: DataFrame, keys: list[str], idx: str, level: str, described: Column | None = None) -> DataFrame:
-    """Maximal runs of one level over consecutive idx of described rows: keys, run_start, run_stop (exclusive), level, n."""
+def runs(df: DataFrame, keys: list[str], idx: str, level: str, described: Column | None = None, more: list[Column] | None = None) -> DataFrame:
+    """Maximal runs of one level over consecutive idx of described rows: keys, run_start, run_stop (exclusive), level, n and further aggregates."""
     rows = df if described is None else df.filter(described)
     w = _over(keys, [idx])
     new = (F.lag(level).over(w).eqNullSafe(F.col(level)) & F.coalesce(F.lag(idx).over(w) == F.col(idx) - 1, F.lit(False))) == F.lit(False)
     rows = rows.withColumn("_n", new.cast("int"))
     rows = rows.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_g", level).agg(F.min(idx).alias("run_start"), (F.max(idx) + 1).alias("run_stop"), F.count("*").alias("n")).drop("_g")
+    return rows.groupBy(*keys, "_g", level).agg(F.min(idx).alias("run_start"), (F.max(idx) + 1).alias("run_stop"), F.count("*").alias("n"), *(more or [])).drop("_g")
 
 
 def merge_touching(spans: DataFrame, keys: list[str], start: str, stop: str, same: list[str]) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions import geometry, timing
-from weftline.operators import dynamics, retrieval
+from weftline.functions import geometry, sql, timing, vectors
+from weftline.operators import dynamics, retrieval, text
 from weftline.operators import timeseries as ts
 from weftline.plans import catalogue
-from weftline.plans.catalogue import _FRAMES, _GRID, _KEYS, _NUMBERED, _ORDER, HOUR, _frames, _grid, _table, query
+from weftline.plans.catalogue import _FRAMES, _GRID, _KEYS, _NUMBERED, _ORDER, _RUNS, _SHIFT, HOUR, _frames, _grid, _numbered, _table, query
+from weftline.sources import tables
+from weftline.streaming import live
 
 _UNIT = ["user_id", "segment_id"]
 
@@ -142,3 +144,88 @@ def target_costs(spark, sf_dir):
     bank = _bank(spark, sf_dir)
     asked = bank.filter("exemplar_id % 20 = 0").withColumnRenamed("exemplar_id", "query_id")
     return retrieval.cheapest(retrieval.costs(asked, bank, 30.0).withColumn("cost", F.round("cost", 6)), 5)
+
+
+_HINTS = f"""{_RUNS}, hinted AS (SELECT l.user_id, l.idx, l.level, r.run_start, avg(l.x) OVER (PARTITION BY l.user_id, r.run_start) AS mean, [0.0, 0.1, 0.3, 0.8, 'inf'::DOUBLE] AS e FROM level_runs r JOIN leveled l ON l.user_id = r.user_id AND l.idx >= r.run_start AND l.idx < r.run_stop),
+cut AS (SELECT *, round(round(CASE WHEN level > 0 THEN greatest(e[level + 1], least(e[level + 2], mean)) WHEN level < 0 THEN greatest(-e[2 - level], least(-e[1 - level], mean)) ELSE greatest(-e[2], least(e[2], mean)) END, 9)::DECIMAL(18, 9), 4)::DOUBLE AS hint FROM hinted)"""
+
+
+def _documents(spark, sf_dir):
+    rows = _numbered(spark, sf_dir, "event_type").withColumn("x", (F.col("value") - 50) / 50)
+    return text.encode(rows, _KEYS, "idx", "x", F.col("event_type") != "error", _SHIFT, 30.0)
+
+
+@query(f"""WITH {_HINTS}, s AS (SELECT user_id, run_start, min(hint) AS hint FROM cut GROUP BY 1, 2), n AS (SELECT user_id, count(*) AS n_frames FROM numbered GROUP BY 1)
+SELECT n.user_id, n_frames, count(s.run_start) AS n_segments, coalesce(sum(CAST(round(hint * 10000) AS BIGINT)), 0)::BIGINT AS hints, round(min(s.run_start) / 30.0, 4) AS first FROM n LEFT JOIN s ON s.user_id = n.user_id GROUP BY n.user_id, n_frames""")
+def text_documents(spark, sf_dir):
+    """Every unit as a document of segments; shown by what stands in it."""
+    doc = _documents(spark, sf_dir).select("user_id", F.from_json("doc", text.SCHEMA).alias("d"))
+    hints = F.aggregate("d.segments", F.lit(0).cast("long"), lambda a, s: a + F.rint(s["hint"] * 10000).cast("long"))
+    return doc.select("user_id", F.col("d.n_frames").alias("n_frames"), F.size("d.segments").cast("long").alias("n_segments"), hints.alias("hints"), F.try_element_at("d.segments", F.lit(1))["t0"].alias("first"))
+
+
+@query(f"WITH {_HINTS} SELECT user_id, idx, level, hint AS value FROM cut")
+def text_round_trip(spark, sf_dir):
+    """Frames read back from documents: those that were described, with their levels and hints."""
+    return text.decode(_documents(spark, sf_dir), _KEYS, _SHIFT).select("user_id", "idx", "level", "value")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, count(*) FILTER (value > 50) AS n_high FROM events GROUP BY 1")
+def json_reports(spark, sf_dir):
+    """A report written as JSON to the shared folder and read back by its schema."""
+    made = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") > 50).alias("n_high"))
+    path = live.shared_folder(spark, "report")
+    tables.write_report(made, path)
+    return tables.read_json(spark, path, "event_type string, n long, mean double, n_high long", multi_line=False)
+
+
+@query("SELECT o_orderstatus, year(o_orderdate) AS y, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1, 2")
+def parquet_sink(spark, sf_dir):
+    """A table written to bounded files in a folder a status, and read back."""
+    path = live.shared_folder(spark, "orders")
+    tables.write_parquet(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), path, 50_000, ["o_orderstatus"])
+    return tables.read_parquet(spark, path, ["o_orderkey", "o_orderdate", "o_orderstatus"]).groupBy("o_orderstatus", F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v < -0.25 THEN NULL ELSE v END) AS e FROM embeddings),
+c AS (SELECT vec_id, e, len(list_filter(e[1:6], lambda v: v IS NULL)) > 0 AS r, len(list_filter(e[7:9], lambda v: v IS NULL)) > 0 AS t, len(list_filter(e[10:64], lambda v: v IS NULL)) > 0 AS b FROM e)
+SELECT vec_id, r::INT + t::INT + b::INT AS n_invalid, round(CASE WHEN r THEN 2.0 ELSE list_sum(e[1:6]) END + CASE WHEN t THEN 0.0 ELSE list_sum(e[7:9]) END + CASE WHEN b THEN 0.0 ELSE list_sum(e[10:64]) END, 5) AS total FROM c""")
+def sanitized_vectors(spark, sf_dir):
+    """Vectors whose channels are replaced whole by neutral ones where a value is missing."""
+    x = F.transform("embedding", lambda v: F.when(v < -0.25, None).otherwise(v.cast("double")))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    neutral = {(0, 6): [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], (6, 3): [0.0] * 3, (9, 55): [0.0] * 55}
+    parts = [(vectors.channel(F.col("x"), *at), values) for at, values in neutral.items()]
+    whole = vectors.assemble([(vectors.sanitize(c, values), len(values)) for c, values in parts])
+    invalid = sum(F.exists(c, lambda v: v.isNull()).cast("int") for c, _ in parts)
+    return rows.select("vec_id", invalid.alias("n_invalid"), F.round(F.aggregate(whole, F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+@query(f"""WITH {_NUMBERED}, m AS (SELECT user_id, idx, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS r FROM numbered WHERE event_type = 'error')
+SELECT user_id, count(*) AS n_missing, array_to_string(list(idx ORDER BY idx) FILTER (r <= 50), ',') AS first_missing FROM m GROUP BY user_id""")
+def missing_frames(spark, sf_dir):
+    """How many frames of a unit have no time, and the numbers of the first fifty."""
+    rows = _numbered(spark, sf_dir, "event_type").filter("event_type = 'error'")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("idx")))
+    listed = F.sort_array(F.collect_list(F.when(F.col("r") <= 50, F.col("idx")))).cast("array<string>")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_missing"), F.array_join(listed, ",").alias("first_missing"))
+
+
+@query("""WITH p AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, event_type, count(*) AS n, quantile_cont(value, 0.1) AS p10, median(value) AS median, quantile_cont(value, 0.9) AS p90, avg(value) AS mean FROM events GROUP BY 1, 2)
+SELECT u.user_id, p.event_type, coalesce(n, 0) AS n, round(p10, 6) AS p10, round(median, 6) AS median, round(p90, 6) AS p90, round(mean, 6) AS mean FROM u CROSS JOIN p LEFT JOIN c ON c.user_id = u.user_id AND c.event_type = p.event_type""")
+def category_quantiles(spark, sf_dir):
+    """Counts and quantiles of each kind of event by unit; a kind that a unit lacks counts 0."""
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    p = F.percentile("value", F.array(*map(F.lit, (0.1, 0.5, 0.9))))
+    found = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(p[0], 6).alias("p10"), F.round(p[1], 6).alias("median"), F.round(p[2], 6).alias("p90"), F.round(F.avg("value"), 6).alias("mean"))
+    kinds = rows.select("event_type").distinct().agg(F.collect_list("event_type").alias("k"))  # one row of the few kinds there are
+    spine = rows.select("user_id").distinct().join(F.broadcast(kinds)).select("user_id", F.explode("k").alias("event_type"))
+    return spine.join(found, ["user_id", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("SELECT event_id, CASE WHEN x >= 0.8 THEN 3 WHEN x >= 0.3 THEN 2 WHEN x >= 0.1 THEN 1 ELSE 0 END * CASE WHEN v < 0 THEN -1 ELSE 1 END AS level, CASE WHEN event_type = 'error' THEN 0.0 ELSE greatest(0.0, least(1.0, x)) END AS weight FROM (SELECT event_id, event_type, (value - 50) / 50 AS v, abs((value - 50) / 50) AS x FROM events)")
+def sql_functions(spark, sf_dir):
+    """The engine's functions called from SQL text."""
+    sql.register(spark)
+    _table(spark, sf_dir, "events").createOrReplaceTempView("weftline_events")
+    return spark.sql("SELECT event_id, level_of((value - 50) / 50, array(0.1D, 0.3D, 0.8D)) AS level, loss_weight(abs((value - 50) / 50), event_type <> 'error', false, false) AS weight FROM weftline_events")
