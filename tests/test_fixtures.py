@@ -11,6 +11,7 @@ from weftline.operators import dynamics, events, kernels, retrieval, text
 from weftline.operators import timeseries as ts
 from weftline.plans import catalogue
 from weftline.sources import tables
+from weftline.streaming import live
 
 NAN = float("nan")
 
@@ -232,3 +233,18 @@ def test_text_documents_are_checked(spark):
             text.decode(spark.createDataFrame([(0, good.replace(old, new, 1))], "u int, doc string"), ["u"], quantizer).collect()
     edited = good.replace("+moderate", "+strong", 1)
     assert [r.value for r in text.decode(spark.createDataFrame([(0, edited)], "u int, doc string"), ["u"], quantizer).collect() if r.level == 3] == [1.2]
+
+
+def test_late_rows_are_listed(spark, tmp_path):
+    import time
+
+    schema = "i long, t timestamp"
+    batches = [[(1, 0.0), (2, 10.0)], [(3, 5.0), (4, 8.5), (5, None)], [(6, 20.0)], [(7, 11.0), (8, 19.5)]]
+    for k, rows in enumerate(batches):
+        made = spark.createDataFrame(rows, "i long, h double").select("i", F.timestamp_seconds(F.col("h") * 3600).alias("t"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    found = live.late_rows(spark, str(tmp_path / "in"), schema, "t", "1 hour", F.window("t", "2 hours")["end"], str(tmp_path / "out"), files=1)
+    assert sorted((r.i, r.batch) for r in found.collect()) == [(3, 1), (7, 3)]
+    again = live.late_rows(spark, str(tmp_path / "in"), schema, "t", "1 hour", F.window("t", "2 hours")["end"], str(tmp_path / "out"), files=1)
+    assert again.count() == 2
