@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ODD, texts
-from weftline.llm import decontaminate, htmltext, language, neardup, packing, quality, queries
+from weftline.llm import decontaminate, htmltext, language, neardup, packing, quality, queries, warc
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = {"documents": DOCUMENTS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string"}
@@ -278,3 +278,16 @@ def test_columns_of_clashing_names_give_way(spark):
     assert [(r.doc_id, r.item_id, r.similarity, r.node) for r in hit] == [(1, 5, 1.0, "x")]
     ints = spark.createDataFrame([(1, "a b", "x")], "doc_id int, text string, length string")
     assert [r.doc_id for r in packing.pack(ints, packing.tokenizer_file()).collect()] == [1]
+
+
+def test_archives_of_many_members_inflate_whole(spark):
+    rnd = random.Random(2)
+    members = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(0, 300))) for _ in range(3000)] + [b"x" * 5_000_000]
+    packed = b"".join(warc.deflate(m) for m in members)
+    assert warc.inflate(packed) == b"".join(members) == warc.inflate(packed + bytes(512)) and warc.inflate(b"") == b""
+    for broken in (packed[:-5], b"\0" + packed, packed + b"rest"):
+        with pytest.raises(ValueError):
+            warc.inflate(broken)
+    rows = spark.createDataFrame([(1, bytearray(packed[:40]), "a", "b"), (2, None, "a", "b")], "n int, data binary, Index string, other string")
+    found = warc.normalise_archives(rows)
+    assert found.columns == ["n", "other", "data", "index", "error"] and [r.error is None for r in found.collect()] == [False, False]

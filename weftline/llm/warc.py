@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, small_batches, text_batches
+from weftline.llm.common import beside, listed, materialise, small_batches, text_batches
 
 #: Bytes of records after which a new archive begins; a longer record makes a longer one.
 ARCHIVE_BYTES = 4_000_000
 #: Payloads under this many bytes are stored each time.
 LEAST_REVISIT = 100
 LEVEL = 4
-_GZIP = 31
+_GZIP, _BLOCK = 31, 16384
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -75,16 +75,21 @@ def deflate(data: bytes, level: int = LEVEL) -> bytes:
 
 def inflate(data: bytes) -> bytes:
     """All members of a gzip file, one after another. Raises ValueError if the last is cut off."""
-    out = []
-    while data:
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
         d = zlib.decompressobj(_GZIP)
         try:
-            out += [d.decompress(data), d.flush()]
+            while at < len(view) and not d.eof:  # in blocks, so that what follows a member isn't copied whole
+                block = view[at : at + _BLOCK]
+                out.append(d.decompress(block))
+                at += len(block)
         except zlib.error as e:
             raise ValueError(f"not gzip: {e}") from None
         if not d.eof:
             raise ValueError("gzip stream is cut off")
-        data = d.unused_data.lstrip(b"\0")
+        at -= len(d.unused_data)
+        while at < len(view) and not view[at]:
+            at += 1
     return b"".join(out)
 
 
@@ -139,6 +144,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     Of pages with equal payloads of at least ``least`` bytes the one of the smallest page_id is a response and the others
     are revisits of it without the payload; all others are responses. Null html is an empty payload. Rows that repeat the
     smallest page_id are responses too; a null page_id is never the smallest, and a response where no other id is there.
+    Other columns are ignored. No pages give no archives.
     """
     small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
@@ -150,10 +156,10 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def normalise_archives(archives: DataFrame) -> DataFrame:
     """Rows with data (gzip of WARC records) to rows with data (one member a record), index, and error.
 
-    A null, damaged or cut-off archive gives null data and says why in error; none is dropped. Other columns stay.
+    A null, damaged or cut-off archive gives null data and says why in error; none is dropped. Other columns stay, but
+    those named like one of the three in any case. An empty table gives no rows.
     """
-    rest = [f for f in archives.schema if f.name not in ("data", "index", "error")]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    rest = beside(archives, "data", "index", "error")
 
     def run(batches):
         for batch in batches:
@@ -166,7 +172,7 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
                     data, index, error = None, None, str(e)
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(i, 1) for f in rest], pa.array([data], pa.binary()), pa.array([index], _INDEX_ARROW), pa.array([error], pa.string())], names=[*[f.name for f in rest], "data", "index", "error"])
 
-    return archives.select(*[f.name for f in rest], "data").mapInArrow(run, f"{fields}data binary, index {_INDEX}, error string")
+    return archives.select(*[f.name for f in rest], "data").mapInArrow(run, f"{listed(rest)}data binary, index {_INDEX}, error string")
 
 
 def _page_number(urn: str | None) -> int | None:
