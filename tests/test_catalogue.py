@@ -3,7 +3,7 @@ import os
 import pytest
 
 from tests.compare import connect, differences
-from weftline.plans import catalogue, measures, signals  # noqa: F401  (both register their queries)
+from weftline.plans import catalogue, measures, media, signals  # noqa: F401  (all register their queries)
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
