@@ -65,6 +65,33 @@ def rotation_columns(x: list[Column]) -> list[Column]:
     return [F.when(bad, e).otherwise(r) for e, r in zip(identity, rows, strict=True)]
 
 
+def let(value: Column, body) -> Column:
+    """body of a named value: a transform over one element, so that a plan holds the value once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def rotation(six: Column) -> Column:
+    """rotation_columns of an array of six values as one array of 9, by the same rules, in a plan that stays small."""
+    at = lambda x, i: F.element_at(x, i)
+    scaled = lambda v: let(F.nullif(norm(v), F.lit(0.0)), lambda n: F.transform(v, lambda c: c / n))
+
+    def second(a: Column) -> Column:
+        rest = let(sum(at(a, i) * at(six, i + 3) for i in (1, 2, 3)), lambda d: F.array(*[at(six, i + 3) - d * at(a, i) for i in (1, 2, 3)]))
+        x_or_y = F.when(F.abs(at(a, 1)) < 0.9, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
+        aside = let(F.when(F.abs(at(a, 1)) < 0.9, at(a, 1)).otherwise(at(a, 2)), lambda d: F.zip_with(x_or_y, a, lambda u, c: u - d * c))
+        return let(let(rest, lambda r: F.when(norm(r) < 1e-8, aside).otherwise(r)), scaled)
+
+    def third(a: Column, b: Column) -> Column:
+        c = [at(a, i) * at(b, j) - at(a, j) * at(b, i) for i, j in ((2, 3), (3, 1), (1, 2))]
+        return F.array(*[v for i in range(3) for v in (at(a, i + 1), at(b, i + 1), c[i])])
+
+    first = F.slice(six, 1, 3)
+    found = let(scaled(first), lambda a: let(second(a), lambda b: third(a, b)))
+    usable = ~F.exists(six, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (norm(first) >= 1e-8)
+    identity = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+    return F.when(F.coalesce(usable, F.lit(False)), found).otherwise(identity)
+
+
 def geodesic(a: list[Column], b: list[Column]) -> Column:
     """Angle in radians between two rotations of 9 elements."""
     trace = sum(p * q for p, q in zip(a, b, strict=True))

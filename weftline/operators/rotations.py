@@ -18,10 +18,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 def with_quaternion(df: DataFrame, six: str) -> DataFrame:
     """df with ``_q``, the quaternion of a rotation of six values; null where a value isn't finite."""
-    turn = F.array(*vectors.rotation_columns([F.element_at(six, i) for i in range(1, 7)]))
-    # a transform over one element names its value: without it the plan repeats the whole matrix some hundred times
-    q = F.transform(F.array(turn), lambda m: F.array(*geometry.quaternion([F.element_at(m, i) for i in range(1, 10)])))
-    return df.withColumn("_q", F.when(_finite(F.col(six)), F.element_at(q, 1)))
+    q = vectors.let(vectors.rotation(F.col(six)), lambda m: F.array(*geometry.quaternion([F.element_at(m, i) for i in range(1, 10)])))
+    return df.withColumn("_q", F.when(_finite(F.col(six)), q))
 
 
 def interpolate(source: DataFrame, targets: DataFrame, keys: list[str], t: str, six: str) -> DataFrame:
