@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +239,21 @@ def test_matroska_lacing_and_damage(spark):
     assert [r.error is None for r in rows] == [True, False, False, False, False]
 
 
+def test_long_licences_by_digest(spark):
+    texts = Path("/usr/share/common-licenses")
+    if not (texts / "Apache-2.0").exists():
+        pytest.skip("no licence texts on this machine")
+    apache, gpl = ((texts / n).read_text() for n in ("Apache-2.0", "GPL-3"))
+    rows = [(1, apache), (2, "Copyright 2021 A. Body\n" + apache.upper().replace(",", " ,")), (3, gpl.replace("\n", " ")), (4, apache[:-40]), (5, apache), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(docs).collect()}
+    assert got[1] == got[2] == got[5] == "Apache-2.0" and got[4] is None and got[6] is None
+    assert {r.license_id for r in licences.scan(docs, {}).collect()} == {None}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[3] for r in con.execute(licences.oracle_sql()).fetchall()} == got
+
+
 def test_licences(spark):
     mit = licences.LICENCES["MIT"]
     rows = [(1, "Copyright (c) 2020 A\n\n" + mit.upper()), (2, "# " + mit.replace("\n", "\n# ").replace("sublicense", "sub-licence")), (3, None), (4, ""), (5, mit + " more")]

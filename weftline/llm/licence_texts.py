@@ -63,3 +63,20 @@ LICENCES = {
         "3. This notice may not be removed or altered from any source distribution."
     ),
 }
+
+# SHA-256 of the canonical form of whole texts as they are commonly distributed (title, terms and appendix).
+DIGESTS = {
+    "Apache-2.0": "f86c45fc72b043272de5d765793567a95363a0016be29aaee3c6a6d8b0ca5532",
+    "Artistic-1.0-Perl": "13caa6a0bc52f01d305d07b8139a4750d73ad358309326b68cc4acee2a5d977f",
+    "CC0-1.0": "fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54",
+    "GFDL-1.2": "93e3d1fff83c2ad91c0355d1d5e86b29a64fe99a6dafc847886e8ca5ac55e2d1",
+    "GFDL-1.3": "7e341f491d9124c6b5c3c7de1b170aa67d961d0487b07d9c4d5b3451d7ba2224",
+    "GPL-1.0": "217794f339d1c752c1ed43db802960df20382823457c9c7107c1e8174c96dd26",
+    "GPL-2.0": "9aee33fbb708e87a335f7d49de8b1f5184935843856f72cdb670e100842f81fd",
+    "GPL-3.0": "4a034d1186766e129a3d2280ae2b50c5fa77666070543ddb78dc7e510cd07599",
+    "LGPL-2.0": "f2f59fdde8f41ac73c25fbdd1a839a3ec44f4a3aedffacf810f1b75b8caa0305",
+    "LGPL-2.1": "2494c1da62dec990e0756f6eb4cc3259c2acc2041cc0fabaf332a0b83551a0a9",
+    "LGPL-3.0": "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",
+    "MPL-1.1": "515864bf52691dd64fb39dffbada72bd2c710ec817092ccb757dd3d9b02c6255",
+    "MPL-2.0": "8dce888cb942d93cebeb8e0fea8afac43e084f54254ac4d9b99cfde68a62468b",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.licence_texts import LICENCES
+from weftline.llm.licence_texts import DIGESTS, LICENCES
 
 # Spellings taken for equal when licences are compared, the left for the right.
 SPELLINGS = {
@@ -79,10 +79,15 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licences: dict[str, str] | None = None) -> DataFrame:
-    """(canonical_sha256, license_id) of the known licences, one row each: as many as the texts given, not as the documents."""
-    rows = sorted((licences or LICENCES).items())
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.groupBy(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    """(canonical_sha256, license_id) of the known licences, one row each: as many as the texts given, not as the documents.
+
+    Without texts these are LICENCES, and DIGESTS for long licences of which only the digest is kept.
+    """
+    given = LICENCES if licences is None else licences
+    table = spark.createDataFrame(sorted(given.items()), "license_id string, text string")
+    digests = spark.createDataFrame(sorted(DIGESTS.items() if licences is None else []), "license_id string, canonical_sha256 string")
+    of_texts = table.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_sha256"))
+    return of_texts.unionByName(digests).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
@@ -120,10 +125,12 @@ def _canonical_sql(column: str) -> str:
 def oracle_sql() -> str:
     """The query in SQL."""
     texts = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(LICENCES.items()))
+    digests = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(DIGESTS.items()))
     return f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("text")}) AS canonical_sha256, min(license_id) AS license_id
-  FROM (VALUES {texts}) AS t(license_id, text) GROUP BY 1
+  SELECT canonical_sha256, min(license_id) AS license_id FROM (
+    SELECT license_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM (VALUES {texts}) AS t(license_id, text)
+    UNION ALL SELECT * FROM (VALUES {digests}) AS d(license_id, canonical_sha256)) GROUP BY 1
 ), plain AS (SELECT doc_id, {_canonical_sql("text")} AS plain FROM documents)
 SELECT doc_id, sha256(plain) AS canonical_sha256, length(plain) AS canonical_chars, license_id
 FROM plain LEFT JOIN known ON known.canonical_sha256 = sha256(plain) AND plain <> ''
