@@ -45,14 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, which cuts its lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again, which cuts its lineage and survives lost executors.
+
+    most: see ``gathered``.
+    """
     spark = df.sparkSession
+    df = df if most is None else gathered(df, most)
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, most: int) -> DataFrame:
+    """df in at most so many tasks, but two a core at least; no row is moved or left out.
+
+    A shuffle deals to as many partitions as the session says, be its rows few, and each would write a file. On local
+    folders Hadoop starts several processes for each file, and an executor's memory is there twice while one starts.
+    """
+    return df.coalesce(max(most, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what Spark hands a Python worker at once, in the session's settings: whole texts make large rows."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):

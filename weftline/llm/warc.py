@@ -206,7 +206,8 @@ def read_pages(archives: DataFrame) -> DataFrame:
 
 def op5_warc_normaliser(spark, sf_dir: str) -> DataFrame:
     """Query: all pages written to monolithic archives, normalised to a member a record, and read back by the index."""
-    archives = materialise(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "archives")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = materialise(write_archives(pages), "archives", pages.rdd.getNumPartitions())
     read = read_pages(materialise(normalise_archives(archives), "members"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
