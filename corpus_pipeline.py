@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, language, neardup, packing, repeats
-from weftline.llm.common import materialise
+from weftline.llm.common import gathered, materialise
 
 #: Posterior under which a language is taken for unknown.
 LEAST_SCORE = 0.5
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = neardup.near_duplicates(docs).filter("kept").select("doc_id", "text_hash").distinct()
     keyed = docs.select(*_TABLE).withColumn("text_hash", F.xxhash64("text"))
     same = (F.col("k.text_hash") == keyed["text_hash"]) & F.col("k.doc_id").eqNullSafe(keyed["doc_id"])
-    return keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*_TABLE)
+    return gathered(keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*_TABLE), docs.rdd.getNumPartitions())
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     cut = repeats.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
     keyed = docs.select(*_TABLE).withColumn("text_hash", F.xxhash64("text")).join(cut, ["doc_id", "text_hash"], "left")
     text = F.coalesce("kept_text", "text")
-    return keyed.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).filter("length(trim(text)) > 0")
+    rest = keyed.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).filter("length(trim(text)) > 0")
+    return gathered(rest, docs.rdd.getNumPartitions())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +50,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     hits = hits.select("doc_id", "text_hash").distinct()
     keyed = docs.select(*_TABLE).withColumn("text_hash", F.xxhash64("text"))
     same = (hits["text_hash"] == keyed["text_hash"]) & hits["doc_id"].eqNullSafe(keyed["doc_id"])
-    return keyed.join(hits, same, "left_anti").select(*_TABLE)
+    return gathered(keyed.join(hits, same, "left_anti").select(*_TABLE), docs.rdd.getNumPartitions())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 4096 tokens."""
-    return packing.pack(docs, packing.tokenizer_file())
+    return gathered(packing.pack(docs, packing.tokenizer_file()), docs.rdd.getNumPartitions())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,6 +5,7 @@ import glob
 
 import pytest
 
+import corpus_pipeline
 from weftline.llm import common, queries
 
 DIR = "/root/testdata/sf0.001"
@@ -36,3 +37,12 @@ def test_warc_archives_are_few(dealt):
         rows = queries.QUERIES["op5_warc_normaliser"](dealt, DIR).count()
     assert rows == dealt.read.parquet(f"{DIR}/pages.parquet").count()
     assert len(files) == 2 and max(files.values()) <= 2 * dealt.sparkContext.defaultParallelism, files
+
+
+def test_pipeline_intermediates_are_few(dealt):
+    docs, most = dealt.read.parquet(f"{DIR}/documents.parquet"), 2 * dealt.sparkContext.defaultParallelism
+    with written(dealt) as files:
+        kept = corpus_pipeline.drop_near_duplicates(dealt, docs, DIR)
+        rest = corpus_pipeline.drop_repeats(dealt, kept, DIR)
+    assert kept.rdd.getNumPartitions() <= most and rest.count() <= kept.count() <= docs.count()
+    assert len(files) > 10 and max(files.values()) <= most, files

@@ -183,18 +183,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = materialise(docs.mapInArrow(_sign(k), "doc_id long, text_hash long, node long, n_shingles long, keys array<long>, sig binary"), "signed")
+    files = len(signed.inputFiles())  # as many as docs has splits: what follows grows with it
     placed = F.coalesce("doc_id", F.lit(_NO_ID))
     first = F.min(F.struct(placed.alias("at"), "text_hash", "n_shingles", "keys", "sig"))
-    nodes = materialise(signed.filter("node IS NOT NULL").groupBy("node").agg(first.alias("r"), F.min("doc_id").alias("least")).select("node", "least", "r.*"), "nodes")
+    nodes = materialise(signed.filter("node IS NOT NULL").groupBy("node").agg(first.alias("r"), F.min("doc_id").alias("least")).select("node", "least", "r.*"), "nodes", files)
     brief = nodes.select("node", "sig", F.col("n_shingles").alias("n"))
 
     placed_keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = placed_keys.groupBy("key").agg(F.count("*").alias("n_bucket")).filter("n_bucket > 1")
-    met = materialise(placed_keys.join(shared, "key"), "met")
+    met = materialise(placed_keys.join(shared, "key"), "met", files)
     # The leader is the member that meets most others over all its buckets: of near copies the one that was changed least.
     weight = met.groupBy("node").agg(F.sum("n_bucket").alias("weight"))
     leaders = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
-    buckets = materialise(met.join(leaders, "key"), "buckets")
+    buckets = materialise(met.join(leaders, "key"), "buckets", files)
 
     sequential = _sequential(bayes_limits(num / den, miss), num, den)
 
@@ -207,27 +208,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = Window.partitionBy("b").orderBy(F.desc("bands"), "a")
     stars = buckets.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"), F.min("n_bucket").alias("least"))
     stars = stars.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= LEADERS) | (F.col("least") == 2)).select("a", "b")
-    stars = materialise(likely(stars), "candidates")
+    stars = materialise(likely(stars), "candidates", files)
     loose = buckets.filter("n_bucket > 2")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(loose.select("node")).distinct()
     wanted = nodes.join(needed, "node").select("node", "at", F.col("text_hash"))
-    sets = materialise(docs.withColumn("at", placed).join(wanted, ["at", "text_hash"]).select("node", "text").mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = materialise(docs.withColumn("at", placed).join(wanted, ["at", "text_hash"]).select("node", "text").mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"]), "sets", files)
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return materialise(both.mapInArrow(_exact(num, den), "a long, b long"), "links")
+        return materialise(both.mapInArrow(_exact(num, den), "a long, b long"), "links", files)
 
     def labelled(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comp.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
 
     links = linked(stars)
-    comp = materialise(components(links), "components")
+    comp = materialise(components(links, most=files), "components", files)
 
     known = labelled(loose, comp, "node", "comp")
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     unresolved = known.join(open_keys, "key").select(F.col("leader").alias("ref"), "node", "comp").filter("node <> ref").distinct()
     unresolved = labelled(unresolved, comp, "ref", "ref_comp").join(sets.toDF("node", "set_node"), "node").join(sets.toDF("ref", "set_ref"), "ref")
-    places = materialise(unresolved.mapInArrow(_differences(num, den), _DIFFERENCES), "differences")
+    places = materialise(unresolved.mapInArrow(_differences(num, den), _DIFFERENCES), "differences", files)
     direct = places.filter("rank = 1 AND cost <= free AND apart").select(F.col("ref").alias("a"), F.col("node").alias("b"))
     light = places.filter("rank <= light").select("ref", "shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("n").alias("na"), F.col("cost").alias("ca"), F.col("rank").alias("ra"))
     heavy = places.filter("rank <= heavy").select("ref", "shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("n").alias("nb"), F.col("cost").alias("cb"), F.col("rank").alias("rb"), "free")
@@ -235,10 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = (light["ref"] == heavy["ref"]) & (light["shingle"] == heavy["shingle"])
     pairs = light.join(heavy, same & F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(direct).unionByName(linked(likely(pairs)))
-    comp = components(links)
+    comp = components(links, most=files)
 
     least = labelled(nodes.select("node", "least"), comp, "node", "comp")
-    group = materialise(least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id"), "groups")
+    group = materialise(least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id"), "groups", files)
     out = signed.select("doc_id", "text_hash", "node", "n_shingles").join(group, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -401,16 +401,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     docs = docs.withColumn("mark", F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     n, shards = 2 * partitions(docs), max(4, partitions(docs) // 4)  # packed rows: at most one for each pair of these
+    files = docs.rdd.getNumPartitions()
     real = docs.filter("doc_id IS NOT NULL AND length(text) > 0").drop("text_hash")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    one = materialise(dealt(real.mapInArrow(_find(n, shards), _PACKED)).mapInArrow(_compare(shards), _PACKED), "contexts")
+    one = materialise(dealt(real.mapInArrow(_find(n, shards), _PACKED)).mapInArrow(_compare(shards), _PACKED), "contexts", files)
     release(spark)
     asked = one.filter(F.col("kind") == _ASK).repartition(n, "bucket").mapInArrow(_per_document(_ASK), _PER_DOCUMENT)
     cut = real.join(asked, ["doc_id", "mark"]).mapInArrow(_cut_out, _PACKED)
-    two = materialise(dealt(cut).mapInArrow(_sort_suffixes(shards), _PACKED), "suffixes")
+    two = materialise(dealt(cut).mapInArrow(_sort_suffixes(shards), _PACKED), "suffixes", files)
     release(spark)
     spans = one.unionByName(two).filter(F.col("kind") == _SPAN)
     spans = spans.repartition(n, "bucket").mapInArrow(_per_document(_SPAN), _PER_DOCUMENT).select("doc_id", "mark", "start", "size")
